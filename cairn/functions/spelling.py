@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 # The ways in which a chunk hash or a snapshot key may be prefixed.
 HASH_PREFIX = r"^\s*(?i:chunks/|sha256:)?\s*"
 KEY_PREFIX = r"^\s*(\./|/)*"
-WELL_FORMED = r"^[0-9a-f]{64}$"
 
 
 def chunk_hash(c: Column) -> Column:
     """Lower case, no prefix, no white space around; null for a hole (null or empty).
 
     A damaged hash keeps what is left of it, so it equals only its own copies.
+    Only what is not 64 hex digits already is matched against patterns.
     """
-    plain = F.lower(F.rtrim(F.regexp_replace(F.regexp_replace(c, HASH_PREFIX, ""), r"\s+$", "")))
-    return F.when(plain != "", plain)
+    plain = F.lower(F.regexp_replace(F.regexp_replace(c, HASH_PREFIX, ""), r"\s+$", ""))
+    return F.when(_hex64(c), F.lower(c)).otherwise(F.when(plain != "", plain))
+
+
+def _hex64(c: Column) -> Column:
+    return (F.octet_length(c) == 64) & F.unhex(c).isNotNull()
 
 
 def is_hash(c: Column) -> Column:
     """Whether a value made by chunk_hash is 64 hex digits; null is none."""
-    return F.coalesce(c.rlike(WELL_FORMED), F.lit(False))
+    return F.coalesce(_hex64(c), F.lit(False))
 
 
 def snapshot_key(c: Column) -> Column:
