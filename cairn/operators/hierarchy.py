@@ -10,7 +10,7 @@ from cairn.planning import broadcast_if_small
 from cairn.scratch import Scratch
 
 #: One node in so many is a splitter, at which a walk rests.
-SPLIT = 16
+SPLIT = 64
 ROOT_ID = 1
 KEY = ["bucket", "id"]
 
@@ -96,27 +96,27 @@ def _splits(bucket: Column, node: Column, split: int) -> Column:
 def _resolve(state: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Follow ``at`` until a done row is met: (done rows, rows that never meet one).
 
-    A round puts the row at ``at`` behind each row not done, so jumps double. Rows
-    not done are led by ``at`` to done rows or to each other; counted from any
-    round on, one that has made as many jumps as there were such rows runs in a
-    circle.
+    A round puts the row at ``at`` behind each row not done, so jumps double. When
+    a round after the first few settles little of what was open, those in circles are
+    found by their pointers alone and set aside, before their paths, which would
+    double with every round, are carried on.
     """
-    parts: list[DataFrame] = []
-    steps, bound = 1, 0
+    done, circling, before, rounds = None, None, 0, 0
     while True:
         seen = Observation()
         written = scratch.write(state.observe(seen, F.count(F.when(~F.col("done"), 1)).alias("left")))
         left = seen.get["left"]
-        parts.append(written.filter("done"))
-        done = parts[0]
-        for p in parts[1:]:
-            done = done.unionByName(p)
-        open_ = written.filter(~F.col("done"))
-        if left == 0 or (bound and steps >= bound):
-            return done, open_
-        if not bound or left < bound // steps:
-            steps, bound = 1, left
-        steps *= 2
+        settled, open_ = written.filter("done"), written.filter(~F.col("done"))
+        done = settled if done is None else done.unionByName(settled)
+        rounds += 1
+        if left and circling is None and (rounds > 4 and left * 4 > before * 3 or rounds > 8):
+            circles = _circles(open_.select(*KEY, "at"), left, scratch)
+            circling = open_.join(circles, KEY, "left_semi")
+            open_ = scratch.write(open_.join(circles, KEY, "left_anti").hint("rebalance"))
+            left = open_.count()
+        if not left:
+            return done, open_ if circling is None else circling
+        before = left
         ahead = done.unionByName(open_).select(
             "bucket", F.col("id").alias("at"), F.col("at").alias("_at"), F.col("hops").alias("_hops"), F.col("path").alias("_path"), F.col("above").alias("_above"), F.col("done").alias("_done")
         )
@@ -124,7 +124,22 @@ def _resolve(state: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         state = open_.join(ahead, ["bucket", "at"]).select(
             *rest, F.col("_at").alias("at"), (F.col("hops") + F.col("_hops")).alias("hops"), F.concat("_path", "path").alias("path"),
             F.concat("_above", "above").alias("above"), F.col("_done").alias("done"),
-        )
+        ).hint("rebalance")
+
+
+def _circles(open_: DataFrame, count: int, scratch: Scratch) -> DataFrame:
+    """(bucket, id) of the rows of (bucket, id, at) that never leave them.
+
+    A row stays if the row its jump leads to stays; jumps double. Once a round
+    loses none, every jump ends among those left, which therefore stay for good.
+    """
+    while True:
+        ahead = open_.select("bucket", F.col("id").alias("at"), F.col("at").alias("_at"))
+        open_ = scratch.write(open_.join(ahead, ["bucket", "at"]).select(*KEY, F.col("_at").alias("at")).hint("rebalance"))
+        left = open_.count()
+        if left == count:
+            return open_.select(*KEY)
+        count = left
 
 
 def descendants(found: DataFrame) -> DataFrame:
