@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.spelling import chunk_hash
-from cairn.operators.snapshots import attribute, snapshot_index, standing_inodes
+from cairn.operators.snapshots import attribute, attributed, snapshot_index
 from cairn.planning import broadcast_if_small, row_order
 
 #: Attributes whose change makes an inode changed; the chunk list counts besides.
@@ -41,14 +41,12 @@ def snapshot_changes(snapshots: DataFrame, inodes: DataFrame, chunk_refs: DataFr
     """
     index = snapshot_index(snapshots)
     index = broadcast_if_small(index.drop("created_ns"), snapshots, ("bucket",))
-    standing = standing_inodes(inodes, {n: attribute(n) for n in COMPARED})
-    none = F.lit(None).cast("bigint")
+    rows = attributed(inodes, {n: attribute(n) for n in COMPARED}).select("bucket", "epoch", "id", "gen", "_hash", "_at")
     state = (
-        standing.select("bucket", "epoch", "id", "gen", "attr_hash", none.alias("part"), F.lit(1).alias("_is"))
-        .unionByName(chunk_list_parts(chunk_refs).select("bucket", "epoch", "id", none.alias("gen"), none.alias("attr_hash"), "part", F.lit(0).alias("_is")))
+        rows.unionByName(chunk_list_parts(chunk_refs), allowMissingColumns=True)
         .groupBy("bucket", "epoch", "id")
-        .agg(F.max("gen").alias("gen"), F.max("attr_hash").alias("_a"), F.bit_xor("part").alias("_x"), F.count("part").alias("_n"), F.max("_is").alias("_is"))
-        .filter("_is = 1")
+        .agg(F.max_by("gen", "_at").alias("gen"), F.max_by("_hash", "_at").alias("_a"), F.bit_xor("part").alias("_x"), F.count("part").alias("_n"))
+        .filter("_a IS NOT NULL")
         .select("bucket", "epoch", "id", "gen", F.xxhash64("_a", "_n", F.coalesce("_x", F.lit(0))).alias("_h"))
         .join(index, ["bucket", "epoch"])
     )

@@ -50,13 +50,17 @@ def standing_inodes(inodes: DataFrame, attrs: dict[str, Column], *keep: str) ->
     epoch or id are dropped. Combined before the shuffle, so a row repeated
     without end travels once a task.
     """
+    return attributed(inodes, attrs).groupBy("bucket", "epoch", "id").agg(
+        F.max_by("gen", "_at").alias("gen"), F.max_by("_hash", "_at").alias("attr_hash"), *[F.max_by(f"_{n}", "_at").alias(n) for n in keep]
+    )
+
+
+def attributed(inodes: DataFrame, attrs: dict[str, Column]) -> DataFrame:
+    """(bucket, epoch, id, gen, _hash, _at, _<attribute>…): every row with its hash and its order among the rows of its key."""
     rows = inodes.filter("bucket IS NOT NULL AND epoch IS NOT NULL AND id IS NOT NULL").select(
         "bucket", "epoch", "id", "gen", "loaded_at", *[c.alias(f"_{n}") for n, c in attrs.items()]
     ).withColumn("_hash", row_hash(F.col("gen"), *[F.col(f"_{n}") for n in attrs]))
-    rows = rows.withColumn("_at", row_order(F.col("loaded_at"), F.col("_hash")))
-    return rows.groupBy("bucket", "epoch", "id").agg(
-        F.max_by("gen", "_at").alias("gen"), F.max_by("_hash", "_at").alias("attr_hash"), *[F.max_by(f"_{n}", "_at").alias(n) for n in keep]
-    )
+    return rows.withColumn("_at", row_order(F.col("loaded_at"), F.col("_hash"))).drop("loaded_at")
 
 
 def attribute(name: str) -> Column:
