@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,14 +30,31 @@ def encoding(path: str = TOKENIZER):
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: White space of this length is more than the tokenizer's pattern can look back over.
+BLANK = 20_000
+_BLANK = re.compile(r"[^\S\x1c-\x1f]{%d,}" % BLANK)
+
+
+def count_tokens(text: str, tokenizer: str = TOKENIZER) -> int:
+    """The tokens of the whole text, long blanks included: all but the last character of a blank are one piece, as in the pattern."""
+    enc = encoding(tokenizer)
+    if len(text) < BLANK or not _BLANK.search(text):
+        return len(enc.encode_ordinary(text))
+    n, at = 0, 0
+    for m in _BLANK.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        n += len(enc.encode_ordinary(text[at : m.start()])) + len(enc._encode_single_piece(text[m.start() : end]))
+        at = end
+    return n + len(enc.encode_ordinary(text[at:]))
+
+
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens) of every document's whole text; a null or empty text has 0."""
 
     def run(batches):
-        encode = encoding(tokenizer).encode_ordinary
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(encode(t)) if t else 0 for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "n_tokens"])
+                [b.column(0), pa.array([count_tokens(t, tokenizer) if t else 0 for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "n_tokens"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint")
 

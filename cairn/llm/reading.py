@@ -56,7 +56,7 @@ def word_grades(pages: DataFrame, known: int = KNOWN_PAGES, acquired: float = AC
     fewer than ``known`` pages are not known.
     """
     seen = pages.select(F.round("grade", 1).alias("grade"), F.explode("words").alias("word")).groupBy("word", "grade").agg(F.count("*").alias("n"))
-    return seen.groupBy("word").agg(F.percentile("grade", acquired, "n").alias("grade"), F.sum("n").alias("_n")).filter(F.col("_n") >= known).drop("_n")
+    return seen.groupBy("word").agg(F.percentile("grade", acquired, F.col("n")).alias("grade"), F.sum("n").alias("_n")).filter(F.col("_n") >= known).drop("_n")
 
 
 def _level(grade: np.ndarray, count: np.ndarray) -> float:
@@ -139,7 +139,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, least_words: int = L
     level = scratch.write(levels(pages, word_grades(pages, known), broadcast_words).join(pages.select("doc_id", "n_words", "grade"), "doc_id").select(
         "doc_id", "n_words", F.coalesce("level", "grade").alias("level")).distinct())
     number = F.array_position(F.array(*[F.lit(b) for b in BANDS]), F.col("band")) - 1
-    one = labels.filter(F.col("band").isin(*BANDS)).groupBy("doc_id", number.alias("b")).agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max(F.struct("n", -F.col("b"))).alias("_m")).select("doc_id", (-F.element_at(F.array("_m.*"), 2)).alias("b"))
+    one = labels.filter(F.col("band").isin(*BANDS)).groupBy("doc_id", number.alias("b")).agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("b")).alias("low"))).alias("m")).select("doc_id", (-F.col("m.low")).alias("b"))
     rows = level.join(one, "doc_id").orderBy(F.xxhash64("doc_id")).select("level", "b").limit(labelled).collect()
     cuts = calibrate(np.array([r.level for r in rows]), np.array([r.b for r in rows], dtype=int)) if rows else list(CUTS)
     band = F.lit(BANDS[-1])
