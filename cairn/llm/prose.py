@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from cairn.llm.words import UNSEEN
 
 END = re.compile(r"[.!?…][\"”’'»)\]]*$")
 #: A remark under an article: a name or handle, a colon, and what was said.
 REMARK = re.compile(r"^[\w.\-]{2,24}:\s+\S")
-SENTENCE = re.compile(r".+?[.!?…]+[\"”’'»)\]]*(?=\s|$)")
-TOKEN = re.compile(r"[A-Za-z]+(?:['’][A-Za-z]+)*")
+STOP = re.compile(r"[.!?…]+[\"”’'»)\]]*(?=\s|$)")
+TOKEN = re.compile(r"[a-z]+(?:'[a-z]+)*")
 LETTER = re.compile(r"[^\W\d_]")
 VOWELS = re.compile(r"[aeiouy]+")
 #: Words of a site talking of itself; one in a short sentence marks it as a notice.
@@ -46,25 +47,27 @@ def sentences(text: str | None) -> list[list[str]]:
     sentences are, for the most part.
     """
     found: list[list[str]] = []
-    foreign = 0
+    n = common = foreign = 0
     for p in paragraphs(text or ""):
         if REMARK.match(p):
             continue
-        for m in SENTENCE.finditer(p):
-            tokens = [w.lower().replace("’", "'") for w in TOKEN.findall(m.group())]
-            if len(tokens) < 2 or (len(tokens) <= NOTICE_WORDS and not NOTICE.isdisjoint(tokens)):
-                foreign += len(LETTER.findall(m.group())) // 5 if not tokens else 0
-                continue
-            english = sum(w in FUNCTION for w in tokens)
-            if english or len(tokens) < 4:
-                found.append(tokens)
-            else:
-                foreign += len(tokens)
-    n = sum(map(len, found))
-    common = sum(w in FUNCTION for s in found for w in s)
+        at, p = 0, p.lower().replace("’", "'")
+        for m in STOP.finditer(p):
+            stretch, at = p[at : m.end()], m.end()
+            tokens = TOKEN.findall(stretch)
+            if not tokens:
+                foreign += len(LETTER.findall(stretch)) // 5
+            elif len(tokens) > 1 and (len(tokens) > NOTICE_WORDS or NOTICE.isdisjoint(tokens)):
+                english = sum(map(FUNCTION.__contains__, tokens))
+                if english or len(tokens) < 4:
+                    found.append(tokens)
+                    n, common = n + len(tokens), common + english
+                else:
+                    foreign += len(tokens)
     return found if n > foreign and common >= LEAST_FUNCTION * n else []
 
 
+@lru_cache(maxsize=1 << 16)
 def syllables(word: str) -> int:
     n = len(VOWELS.findall(word))
     if n > 1 and word.endswith("e") and not word.endswith("le"):
