@@ -160,11 +160,11 @@ def orphan_references(
 
     own = F.col("_h")
     stored = base_chunks.select(chunk_hash(F.col("hash")).alias("_h")).distinct()
-    hashes = chunk_refs.withColumn("_h", chunk_hash(F.col("hash"))).filter("_h IS NOT NULL").join(stored, "_h", "left_anti")
+    hashes = chunk_refs.select("bucket", "epoch", "inode_id", "idx", chunk_hash(F.col("hash")).alias("_h")).filter("_h IS NOT NULL").join(stored, "_h", "left_anti")
     hashes = hashes.join(index, ["bucket", "epoch"]).filter("_t IS NOT NULL")
     refs = [hashes.select(*key_columns(F.lit("chunk"), own), "_t", *row("chunk_refs", F.col("inode_id"), F.col("idx").cast("string")))]
     parents = [
-        chunks.withColumn("_h", chunk_hash(F.col("hash"))).filter("_h IS NOT NULL")
+        chunks.select(chunk_hash(F.col("hash")).alias("_h"), "stored_ns", "deleted_ns").filter("_h IS NOT NULL")
         .select(*key_columns(F.lit("chunk"), own), F.col("stored_ns").alias("_start"), F.col("deleted_ns").alias("_stop"))
     ]
 
