@@ -5,8 +5,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from functools import cache
 
+ASCII = re.compile(r"[\x00-\x7f]+")
 WORD = re.compile(r"[^\W_]+")
 #: Characters that show nothing (soft hyphen, zero-width and direction marks, byte order mark).
 UNSEEN = re.compile("[­​-‏⁠-⁤﻿‪-‮⁦-⁩]")
@@ -18,13 +18,9 @@ def plain(text: str) -> str:
         text = html.unescape(text)
     if text.isascii():
         return text.lower()
-    return _marks().sub("", unicodedata.normalize("NFKD", UNSEEN.sub("", text)).casefold())
-
-
-@cache
-def _marks() -> re.Pattern:
-    """Every character that is set upon another."""
-    return re.compile("[" + "".join(c for c in map(chr, range(0x300, 0x1F000)) if unicodedata.combining(c)) + "]+")
+    if any(map(unicodedata.combining, set(ASCII.sub("", text)))):
+        text = "".join(c for c in text if not unicodedata.combining(c))
+    return text
 
 
 def words(text: str | None) -> list[str]:
