@@ -9,7 +9,7 @@ import unicodedata
 ASCII = re.compile(r"[\x00-\x7f]+")
 WORD = re.compile(r"[^\W_]+")
 #: Characters that show nothing (soft hyphen, zero-width and direction marks, byte order mark).
-UNSEEN = re.compile("[­​-‏⁠-⁤﻿‪-‮⁦-⁩]")
+UNSEEN = re.compile("[­​-‏‪-‮⁠-⁤⁦-⁩﻿]")
 
 
 def plain(text: str) -> str:
@@ -18,6 +18,7 @@ def plain(text: str) -> str:
         text = html.unescape(text)
     if text.isascii():
         return text.lower()
+    text = unicodedata.normalize("NFKD", UNSEEN.sub("", text)).casefold()
     if any(map(unicodedata.combining, set(ASCII.sub("", text)))):
         text = "".join(c for c in text if not unicodedata.combining(c))
     return text
