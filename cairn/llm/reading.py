@@ -109,12 +109,11 @@ def calibrate(level: np.ndarray, band: np.ndarray, cuts: tuple[float, ...] = CUT
     out = []
     for k, cut in enumerate(cuts):
         above = band > k
-        near = (band == k) | (band == k + 1)
-        if not (near & above).any() or not (near & ~above).any():
+        if above.all() or not above.any():
             out.append(cut)
             continue
-        order = np.argsort(level[near], kind="stable")
-        x, y = level[near][order], above[near][order]
+        order = np.argsort(level, kind="stable")
+        x, y = level[order], above[order]
         wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum(~y[::-1])[::-1], [0]])
         inner = np.arange(1, len(x))
         best = inner[wrong[1:-1] == wrong[1:-1].min()]
