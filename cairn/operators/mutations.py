@@ -32,19 +32,37 @@ class Namespace:
     next_ino: DataFrame
 
 
-def waves(requests: DataFrame) -> DataFrame:
-    """Requests with their wave. Within one, no two of a bucket touch the same entry, and a barrier is alone in its bucket.
-
-    Entries are added and removed side by side; renames and removals of
-    directories look at more than their own entry, so each parts what is before
-    from what is after.
+def waves(requests: DataFrame, next_ino: DataFrame) -> DataFrame:
+    """Requests with their wave: the longest stretch of a bucket's order in which no two touch each other.
+
+    Entries of different names are added and removed side by side. A rename, a
+    change of attributes and the removal of a directory look at more than their
+    own entry and stand alone; a request that names an inode made in this batch
+    waits for the wave before. Numbers of inodes thus follow the order of
+    requests. Stretches are found in one pass over the sorted requests, which
+    holds the hashes of one wave's entries.
     """
-    order = Window.partitionBy("bucket").orderBy("seq")
-    barrier = F.col("op").isin(*BARRIERS)
-    part = F.sum(F.when(barrier, 1).otherwise(0)).over(order) * 2 - F.when(barrier, 1).otherwise(0)
-    staged = requests.withColumn("_part", part)
-    staged = staged.withColumn("_turn", F.row_number().over(Window.partitionBy("bucket", "_part", "dir_id", "name").orderBy("seq")))
-    return staged.withColumn("wave", F.dense_rank().over(Window.partitionBy("bucket").orderBy("_part", "_turn"))).drop("_part", "_turn")
+    made = F.col("op").isin("create", "mkdir", "symlink")
+    newest = F.greatest(*[F.coalesce(c, F.lit(0)) for c in ("dir_id", "to_dir", "id")])
+    marks = requests.join(next_ino, "bucket", "left").select(
+        "bucket", "seq", F.xxhash64("dir_id", "name").alias("entry"), F.col("op").isin(*BARRIERS).alias("alone"), made.alias("makes"), F.coalesce(newest >= F.col("next_ino"), F.lit(False)).alias("waits"))
+
+    def run(batches):
+        at, wave, entries, makes, closed = None, 0, set(), False, True
+        for pdf in batches:
+            out = []
+            for bucket, entry, alone, new, waits in zip(pdf.bucket, pdf.entry, pdf.alone, pdf.makes, pdf.waits):
+                if bucket != at:
+                    at, wave, closed = bucket, 0, True
+                if closed or alone or entry in entries or (waits and makes):
+                    wave, entries, makes = wave + 1, set(), False
+                entries.add(entry)
+                makes, closed = makes or new, alone
+                out.append(wave)
+            yield pdf[["bucket", "seq"]].assign(wave=out)
+
+    numbered = marks.repartition("bucket").sortWithinPartitions("bucket", "seq").mapInPandas(run, "bucket string, seq bigint, wave bigint")
+    return requests.join(numbered, ["bucket", "seq"])
 
 
 def apply_requests(ns: Namespace, requests: DataFrame, now_ns: int, chunk_size: int = 1 << 20, mode: str = "Writable") -> tuple[Namespace, DataFrame]:
@@ -55,7 +73,7 @@ def apply_requests(ns: Namespace, requests: DataFrame, now_ns: int, chunk_size:
     """
     spark = requests.sparkSession
     scratch = Scratch(spark, "mutations")
-    staged = scratch.write(waves(requests))
+    staged = scratch.write(waves(requests, ns.next_ino))
     last = staged.agg(F.max("wave")).first()[0] or 0
     results = spark.createDataFrame([], "bucket string, seq bigint, status int, id bigint")
     for wave in range(1, last + 1):
