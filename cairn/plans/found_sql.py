@@ -20,6 +20,23 @@ FROM st a LEFT JOIN st b ON a.bucket = b.bucket AND a.nxt = b.epoch AND a.id = b
 WHERE a.nxt IS NOT NULL AND b.id IS NULL
 """
 
+DOCS = """
+WITH b AS (SELECT DISTINCT bucket, epoch, body::JSON AS j FROM snapshot_docs WHERE json_valid(body)),
+s AS (SELECT bucket, epoch, CASE WHEN json_type(j, '$.snapshot') = 'OBJECT' AND json_type(j, '$.inodes') IS NULL THEN json_extract(j, '$.snapshot') ELSE j END AS j FROM b),
+v AS (SELECT bucket, epoch, json_extract(j, '$.inodes') AS i FROM s WHERE json_extract_string(j, '$.version') = '1'),
+n AS (SELECT bucket, epoch, unnest(json_extract(i, '$[*]')) AS x FROM v WHERE json_type(i) = 'ARRAY'
+      UNION ALL SELECT bucket, epoch, unnest(json_extract(i, '$.*')) FROM v WHERE json_type(i) = 'OBJECT'),
+o AS (SELECT bucket, epoch, x, json_extract_string(x, '$.id')::BIGINT AS owner_id FROM n WHERE json_type(x) = 'OBJECT'),
+e AS (SELECT bucket, epoch, x, owner_id, unnest(json_keys(x, '$.e')) AS name FROM o WHERE json_type(x, '$.e') = 'OBJECT'),
+c AS (SELECT bucket, epoch, owner_id, unnest(range(json_array_length(x, '$.c')::BIGINT)) AS idx, unnest(json_extract(x, '$.c[*]')) AS y FROM o WHERE json_type(x, '$.c') = 'ARRAY')
+"""
+P2 = DOCS + """
+SELECT DISTINCT bucket, epoch, 'inode' AS rel, owner_id, '' AS item FROM o
+UNION SELECT bucket, epoch, 'entry', owner_id, name FROM e UNION SELECT bucket, epoch, 'chunk', owner_id, idx::VARCHAR FROM c
+"""
+P2_INODES = DOCS + "SELECT DISTINCT bucket, epoch, owner_id AS id, " + ", ".join(
+    f"json_extract_string(x, '$.{k}')::{'INT' if k == 't' else 'BIGINT'} AS {k}" for k in ("gen", "t", "m", "u", "g", "n", "sz", "at", "mt", "ct", "p")) + ", json_extract_string(x, '$.lt') AS lt FROM o"
+
 FREQ = f"""
 WITH r AS (SELECT DISTINCT bucket, epoch, inode_id, idx, {HASH.format(c='hash')} hash FROM chunk_refs),
 g AS (SELECT hash, count(*) n_refs, count(DISTINCT (bucket, epoch, inode_id)) n_records FROM r WHERE regexp_full_match(hash, '[0-9a-f]{{64}}') GROUP BY hash)
@@ -73,6 +90,10 @@ BELOW = TREE + ", x AS (SELECT bucket, id AS below_id, depth, unnest(trail) id,
 
 SQL = {
     "p1_found": P1,
+    "p2_found": P2,
+    "p2_inodes": P2_INODES,
+    "p2_entries": DOCS + """SELECT DISTINCT bucket, epoch, owner_id AS dir_id, name, json_extract_string(x, '$.e."' || name || '"')::BIGINT AS child_id FROM e""",
+    "p2_chunks": DOCS + "SELECT DISTINCT bucket, epoch, owner_id AS inode_id, idx::INT AS idx, json_extract_string(y, '$.h') AS h, json_extract_string(y, '$.s')::BIGINT AS s FROM c",
     "p3_frequencies": FREQ,
     "p3_found": f"SELECT hash, mark FROM ({FREQ}) WHERE mark IS NOT NULL",
     "p4_found": P4,

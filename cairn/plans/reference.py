@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 from cairn.functions import status as S
 from cairn.functions.spelling import chunk_hash, low_mode, snapshot_key
 from cairn.operators import attributes as A
+from cairn.operators import cache, hierarchy
 from cairn.operators import filedata as D
 from cairn.operators import machines as M
+from cairn.operators import mutations as U
 from cairn.operators import namespace as N
 from cairn.operators import policy as P
 from cairn.operators import retention as R
 from cairn.operators.snapshots import standing_inodes
 from cairn.planning import broadcast_if_small
+from cairn.sources import snapshots as snap
 from cairn.sources.store import list_keys
 from cairn.streaming import budget, replies
 from cairn.tables import table
@@ -329,5 +332,145 @@ def str_03_budget(spark, d):
     return budget.replay(writes, ["user_id"], 10 * CUT)
 
 
+def src_06_namespace(spark, d):
+    flat = snap.relations(table(spark, d, "snapshot_docs"))
+    return flat["inodes"].groupBy("bucket", "epoch").agg(F.count("*").alias("n_inodes"), F.count(F.when(F.col("type") == S.DIR, 1)).alias("n_dirs"), F.max("id").alias("top_id"))
+
+
+def snk_05_encode(spark, d):
+    head = table(spark, d, "snapshots").join(_newest(spark, d), ["bucket", "epoch"], "left_semi").select("bucket", "epoch", "next_ino", "chunk_size", "created_ns").distinct()
+    at = lambda df: df.join(head.select("bucket", "epoch"), "bucket")
+    docs = snap.documents(head, at(_inodes(spark, d)), at(_dirents(spark, d)), at(_refs(spark, d)).withColumnRenamed("id", "inode_id"))
+    flat = snap.relations(docs)
+    names = flat["dirents"].groupBy("bucket").agg(F.count("*").alias("n_entries"))
+    return flat["inodes"].groupBy("bucket").agg(F.count("*").alias("n_inodes"), F.max("mtime_ns").alias("newest_ns")).join(names, "bucket", "left")
+
+
+def ns_03_ancestors(spark, d):
+    tree = hierarchy.newest_tree(*[table(spark, d, n) for n in ("snapshots", "inodes", "dirents")])
+    below = hierarchy.descendants(hierarchy.hierarchy(tree, trail=True))
+    inodes = _inodes(spark, d).filter("type = 2").select("bucket", "id")
+    pairs = inodes.join(inodes.select("bucket", F.col("id").alias("below_id")).filter("below_id % 7 = 1"), "bucket").filter("id % 7 < 2")
+    return N.is_ancestor(pairs, below)
+
+
+def ns_07_stats(spark, d):
+    return table(spark, d, "inodes").groupBy("bucket").agg(F.max("epoch").alias("epoch"), F.count_distinct("epoch", "id").alias("n_inodes"))
+
+
+def dat_05_refs(spark, d):
+    asked = _inodes(spark, d).filter("type = 1").select("bucket", "id", "size", F.lit(100000).cast("bigint").alias("off"), F.lit(300000).cast("bigint").alias("count"))
+    stored = _refs(spark, d).filter("hash IS NOT NULL")
+    return D.covered(asked, 65536).join(stored.select("bucket", "id", "idx", "hash"), ["bucket", "id", "idx"]).select("bucket", "id", F.col("idx").cast("bigint").alias("idx"), "hash", F.col("take").cast("bigint").alias("take"))
+
+
+def dat_06_overlay(spark, d):
+    refs = _chunks(spark, d)
+    dirty = refs.filter("idx = 1").select("doc_id", "idx", F.encode(F.lit("buffered"), "utf-8").alias("data"))
+    return D.overlay(refs, dirty, ["doc_id"]).select("doc_id", F.col("idx").cast("bigint").alias("idx"), "hash", F.col("size").cast("bigint").alias("size"))
+
+
+def _written(spark, d):
+    refs = _chunks(spark, d)
+    writes = _files(spark, d).select("doc_id", F.explode(F.array(
+        F.struct(F.lit(1).alias("seq"), F.lit(1000).cast("bigint").alias("off"), F.encode(F.repeat(F.lit("a"), 100), "utf-8").alias("data")),
+        F.struct(F.lit(2).alias("seq"), F.lit(1050).cast("bigint").alias("off"), F.encode(F.lit("PATCHED"), "utf-8").alias("data")))).alias("w")).select("doc_id", "w.*")
+    return D.apply_writes(writes, refs, refs.groupBy("hash").agg(F.first("data").alias("data")), ["doc_id"], CUT)
+
+
+def dat_07_writes(spark, d):
+    return _written(spark, d).select("doc_id", F.col("idx").cast("bigint").alias("idx"), F.sha2("data", 256).alias("hash"))
+
+
+def dat_09_trims(spark, d):
+    cuts = _inodes(spark, d).filter("type = 1 AND id % 5 = 0").select("bucket", "id", F.col("size").alias("old_size"), F.floor(F.col("size") / 2).cast("bigint").alias("new_size"))
+    shorter = cuts.withColumn("new_size", F.floor(F.col("new_size") - 7).cast("bigint")).filter("new_size > 0")
+    trims = [D.truncate(_refs(spark, d), c, ["bucket", "id"], 65536)[1] for c in (cuts, shorter)]
+    return D.least_trims(*trims, keys=["bucket", "id"]).select("bucket", "id", F.col("idx").cast("bigint").alias("idx"), F.col("to_len").cast("bigint").alias("to_len"))
+
+
+def dat_10_flush(spark, d):
+    refs = _chunks(spark, d).select("doc_id", "idx", "hash", "size")
+    return D.flush(_written(spark, d), refs, ["doc_id"])[0].select("doc_id", F.col("idx").cast("bigint").alias("idx"), "hash", F.col("size").cast("bigint").alias("size"))
+
+
+def dat_13_limits(spark, d):
+    return table(spark, d, "snapshots").select("bucket", "chunk_size").distinct().select("bucket", A.max_file_size(F.col("chunk_size")).alias("max_size"))
+
+
+def dat_16_punch(spark, d):
+    holes = _inodes(spark, d).filter("type = 1").select("bucket", "id", F.lit(65536).cast("bigint").alias("off"), F.lit(131072).cast("bigint").alias("len"))
+    return D.punch(_refs(spark, d), holes, ["bucket", "id"], 65536).select("bucket", "id", F.col("idx").cast("bigint").alias("idx"), "hash", "size")
+
+
+def dat_19_unpinned(spark, d):
+    inodes = _inodes(spark, d).select("bucket", "id")
+    named = _dirents(spark, d).select("bucket", F.col("child_id").alias("id"))
+    return D.unpinned(inodes.join(named, ["bucket", "id"], "left_anti"), inodes.filter("id % 2 = 0"))
+
+
+def int_04_lru(spark, d):
+    log = table(spark, d, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("key"), (F.length("event_type") * 100).cast("bigint").alias("size"))
+    return cache.replay(log, ["user_id"], ["ts", "event_id"], 1300)
+
+
+def int_05_counts(spark, d):
+    return int_04_lru(spark, d).groupBy("user_id").agg(F.count(F.when(F.col("hit"), 1)).alias("hits"), F.count(F.when(~F.col("hit"), 1)).alias("misses"))
+
+
+def _mutable(spark, d):
+    inodes = _inodes(spark, d)
+    return U.Namespace(inodes, _dirents(spark, d), inodes.groupBy("bucket").agg((F.max("id") + 1).alias("next_ino")))
+
+
+def _ask(df, **given):
+    kinds = dict(c.split(" ", 1) for c in U.REQUESTS.split(", "))
+    fill = {"uid": F.lit(0), "gid": F.lit(0), "gids": F.array()} | given
+    return df.select("bucket", *[fill.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items() if c != "bucket"])
+
+
+def _batch(spark, d):
+    """In every bucket's root: a file, a directory and a link are made, and the first name is removed."""
+    root = _dirents(spark, d).filter("dir_id = 1").groupBy("bucket").agg(F.min("name").alias("first"))
+    at = {"dir_id": F.lit(1)}
+    return _ask(root, seq=F.lit(1), op=F.lit("create"), name=F.lit("~new"), **at).unionByName(_ask(root, seq=F.lit(2), op=F.lit("mkdir"), name=F.lit("~dir"), **at)).unionByName(
+        _ask(root, seq=F.lit(3), op=F.lit("symlink"), name=F.lit("~link"), target=F.lit("ü"), **at)).unionByName(_ask(root, seq=F.lit(4), op=F.lit("remove"), name=F.col("first"), **at))
+
+
+def mut_01_make(spark, d):
+    ns, _ = U.apply_requests(_mutable(spark, d), _batch(spark, d), 1_750_000_000_000_000_000)
+    made = ns.dirents.filter(F.col("name").startswith("~"))
+    return made.join(ns.inodes.select("bucket", F.col("id").alias("child_id"), "type", "mode", "nlink", "size"), ["bucket", "child_id"]).select("bucket", "name", "child_id", "type", "mode", "nlink", "size")
+
+
+def mut_06_remove(spark, d):
+    ns, got = U.apply_requests(_mutable(spark, d), _batch(spark, d), 1_750_000_000_000_000_000)
+    names = ns.dirents.filter("dir_id = 1").groupBy("bucket").agg(F.count("*").alias("n_names"))
+    return got.filter("seq = 4").select("bucket", "status").join(names, "bucket")
+
+
+def mut_07_rename(spark, d):
+    root = _dirents(spark, d).filter("dir_id = 1").groupBy("bucket").agg(F.min("name").alias("first"))
+    asked = _ask(root, seq=F.lit(1), op=F.lit("rename"), dir_id=F.lit(1), name=F.col("first"), to_dir=F.lit(1), to_name=F.lit("~moved"))
+    ns, got = U.apply_requests(_mutable(spark, d), asked, 1_750_000_000_000_000_000)
+    return got.select("bucket", "status").join(ns.dirents.filter("name = '~moved'").select("bucket", "child_id"), "bucket", "left")
+
+
+def mut_09_setattr(spark, d):
+    asked = _ask(_inodes(spark, d).filter("id = 2").select("bucket"), seq=F.lit(1), op=F.lit("setattr"), id=F.lit(2), uid=F.lit(501), gid=F.lit(20), new_mode=F.lit(0o600))
+    ns, got = U.apply_requests(_mutable(spark, d), asked, 1_750_000_000_000_000_000)
+    return got.select("bucket", "status").join(ns.inodes.filter("id = 2").select("bucket", "mode"), "bucket")
+
+
+def mut_11_guard(spark, d):
+    guard = F.when(F.col("id") % 2 == 0, F.col("ctime_ns")).when(F.col("id") % 3 == 0, F.lit(1).cast("bigint"))
+    return _inodes(spark, d).select("bucket", "id", A.guard_status(F.col("ctime_ns"), guard).alias("status"))
+
+
+def fsm_01_edges(spark, d):
+    mode, root = M.machines()
+    return mode.table(spark).unionByName(root.table(spark))
+
+
 _AREAS = ("src_", "snk_", "prj_", "pol_", "ns_", "mut_", "dat_", "int_", "cmt_", "fsm_", "str_")
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith(_AREAS)}

@@ -1,6 +1,6 @@
 """The same results in DuckDB's SQL."""
 
-from cairn.plans.found_sql import HASH
+from cairn.plans.found_sql import BELOW, DOCS, HASH
 
 NS = f"""WITH RECURSIVE top AS (SELECT bucket, max(epoch) epoch FROM snapshots GROUP BY bucket),
 n AS (SELECT bucket, id, gen, type, (mode & 4095)::INT AS mode, uid, gid, nlink, size, atime_ns, mtime_ns, ctime_ns, parent, target FROM (
@@ -33,6 +33,10 @@ def _page(after: int, budget: int, cost: int) -> str:
 pe AS (SELECT *, max(cookie) OVER (PARTITION BY bucket, dir_id) = top_cookie AS eof FROM pg WHERE u <= {budget} OR rn = 1)"""
 
 
+# a file after 100 times 'a' at byte 1000 and PATCHED at 1050: its first two chunks of 1,024 bytes
+PAD = "CASE WHEN size >= 1000 THEN b[1:1000] ELSE b || unhex(repeat('00', 1000 - size::INT)) END"
+W0 = f"{PAD} || encode(repeat('a', 24))"
+W1 = "encode(repeat('a', 26) || 'PATCHED' || repeat('a', 43)) || CASE WHEN size > 1100 THEN b[1101:least(size, 2048)] ELSE ''::BLOB END"
 NAME = "CASE WHEN name IS NULL OR name IN ('', '.', '..') THEN 22 WHEN strlen(name) > 255 THEN 63 WHEN contains(name, '/') OR contains(name, chr(0)) THEN 22 ELSE 0 END"
 HANDLE = "printf('%016X%016X', id, gen)"
 KEY = r"regexp_replace(regexp_replace(snapshot, '^\s*(\./|/)*', ''), '\s+$', '')"
@@ -100,4 +104,23 @@ SQL = {
         SELECT user_id, arg_max(state, i) AS state, arg_max(refused, i) AS refused FROM w GROUP BY user_id""",
     "str_01_repeats": "SELECT event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)) < 120000000, false) AS repeat FROM events",
     "str_02_idempotent": "SELECT event_id, event_id % 5 IN (0, 2, 4) AS idempotent FROM events",
+    "src_06_namespace": DOCS + "SELECT bucket, epoch, count(DISTINCT owner_id) AS n_inodes, count(DISTINCT CASE WHEN json_extract_string(x, '$.t') = '2' THEN owner_id END) AS n_dirs, max(owner_id) AS top_id FROM o GROUP BY bucket, epoch",
+    "snk_05_encode": NS + "SELECT n.bucket, count(*) AS n_inodes, max(mtime_ns) AS newest_ns, any_value(k.c) AS n_entries FROM n LEFT JOIN (SELECT bucket, count(*) c FROM d SEMI JOIN n ON n.bucket = d.bucket AND n.id = d.dir_id GROUP BY bucket) k USING (bucket) GROUP BY n.bucket",
+    "ns_03_ancestors": BELOW + ", dirs AS (SELECT bucket, id FROM ino JOIN top USING (bucket, epoch) WHERE type = 2) SELECT a.bucket, a.id, b.id AS below_id, d.id IS NOT NULL OR a.id = b.id AS inside FROM dirs a JOIN dirs b ON a.bucket = b.bucket LEFT JOIN d ON d.bucket = a.bucket AND d.id = a.id AND d.below_id = b.id WHERE b.id % 7 = 1 AND a.id % 7 < 2",
+    "ns_07_stats": "SELECT bucket, max(epoch) AS epoch, count(DISTINCT (epoch, id)) AS n_inodes FROM inodes GROUP BY bucket",
+    "dat_05_refs": NS + ", x AS (SELECT bucket, id, 100000 + least(300000, size - 100000) AS e FROM n WHERE type = 1 AND size > 100000), y AS (SELECT bucket, id, e, i AS idx, greatest(100000, i * 65536) AS s FROM x, range(1, (e - 1) // 65536 + 1) t(i)) SELECT bucket, id, y.idx, hash, least(e, (y.idx + 1) * 65536) - s AS take FROM y JOIN r USING (bucket, id, idx) WHERE hash IS NOT NULL",
+    "dat_06_overlay": NS + "SELECT doc_id, idx, CASE WHEN idx <> 1 THEN sha256(data) END AS hash, CASE WHEN idx = 1 THEN 8 ELSE size END AS size FROM k",
+    "dat_07_writes": NS + f"""SELECT doc_id, 0::BIGINT AS idx, sha256({W0}) AS hash FROM f UNION ALL SELECT doc_id, 1, sha256({W1}) FROM f""",
+    "dat_09_trims": NS + ", c AS (SELECT bucket, id, size, unnest([size // 2, size // 2 - 7]) AS ns FROM n WHERE type = 1 AND id % 5 = 0) SELECT bucket, id, idx::BIGINT AS idx, min(ns % 65536) AS to_len FROM c JOIN r USING (bucket, id) WHERE ns > 0 AND ns < c.size AND ns % 65536 <> 0 AND idx = ns // 65536 AND hash IS NOT NULL GROUP BY bucket, id, idx",
+    "dat_10_flush": NS + f""", p AS (SELECT doc_id, 0::BIGINT AS idx, {W0} AS data FROM f UNION ALL SELECT doc_id, 1, {W1} FROM f)
+        SELECT doc_id, idx, sha256(data) AS hash, octet_length(data)::BIGINT AS size FROM p UNION ALL SELECT doc_id, idx, sha256(data), size FROM k WHERE idx > 1""",
+    "dat_13_limits": "SELECT DISTINCT bucket, chunk_size * 1048576 AS max_size FROM snapshots",
+    "dat_16_punch": NS + "SELECT r.bucket, r.id, idx::BIGINT AS idx, CASE WHEN n.type = 1 AND idx IN (1, 2) THEN NULL ELSE hash END AS hash, r.size FROM r LEFT JOIN n ON n.bucket = r.bucket AND n.id = r.id",
+    "dat_19_unpinned": NS + "SELECT bucket, id FROM n WHERE id % 2 <> 0 AND NOT EXISTS (SELECT 1 FROM d WHERE d.bucket = n.bucket AND d.child_id = n.id)",
+    "mut_01_make": NS + ", t AS (SELECT n.bucket, max(n.id) + 1 AS nx FROM n WHERE bucket IN (SELECT bucket FROM d WHERE dir_id = 1) GROUP BY n.bucket) SELECT bucket, m.* FROM t, LATERAL (VALUES ('~new', nx, 1, 420, 1::BIGINT, 0::BIGINT), ('~dir', nx + 1, 2, 493, 2, 0), ('~link', nx + 2, 5, 511, 1, 2)) m(name, child_id, type, mode, nlink, size)",
+    "mut_06_remove": NS + ", m AS (SELECT bucket, min(name) AS name, count(*) AS c FROM d WHERE dir_id = 1 GROUP BY bucket), s AS (SELECT m.*, CASE WHEN n.id IS NULL THEN 2 WHEN n.type = 2 THEN 21 ELSE 0 END AS status FROM m JOIN d ON d.bucket = m.bucket AND d.dir_id = 1 AND d.name = m.name LEFT JOIN n ON n.bucket = d.bucket AND n.id = d.child_id) SELECT bucket, status, c + 3 - CASE WHEN status = 0 THEN 1 ELSE 0 END AS n_names FROM s",
+    "mut_07_rename": NS + ", m AS (SELECT bucket, min(name) AS name FROM d WHERE dir_id = 1 GROUP BY bucket) SELECT m.bucket, CASE WHEN n.id IS NULL THEN 2 ELSE 0 END AS status, n.id AS child_id FROM m JOIN d ON d.bucket = m.bucket AND d.dir_id = 1 AND d.name = m.name LEFT JOIN n ON n.bucket = d.bucket AND n.id = d.child_id",
+    "mut_09_setattr": NS + "SELECT bucket, CASE WHEN uid = 501 THEN 0 ELSE 1 END AS status, CASE WHEN uid = 501 THEN 384 ELSE mode END AS mode FROM n WHERE id = 2",
+    "mut_11_guard": NS + "SELECT bucket, id, CASE WHEN id % 2 <> 0 AND id % 3 = 0 AND ctime_ns <> 1 THEN 10002 ELSE 0 END AS status FROM n",
+    "fsm_01_edges": "SELECT * FROM (VALUES ('Writable', 'Diverge', 'Diverged', 'mode'), ('Known', 'SwapOK', 'Known', 'rootKnowledge'), ('Known', 'SwapUnknown', 'InDoubt', 'rootKnowledge'), ('InDoubt', 'ProbeOurs', 'Known', 'rootKnowledge'), ('InDoubt', 'ProbeUnchanged', 'Known', 'rootKnowledge')) t(from_state, event, to_state, machine)",
 }

@@ -83,3 +83,26 @@ def test_committing_sink(spark, rows, tmp_path):
         stream = spark.readStream.schema("name string").parquet(str(tmp_path / "in"))
         committer.commit_stream(stream, c, apply, str(tmp_path / "cp"), None).awaitTermination()
     assert set(Committer(store).namespace["inodes"]["1"]["e"]) == {"a", "b"} and c.epoch == 2
+
+
+def test_lru_replay(rows):
+    import random
+    from collections import OrderedDict
+
+    from cairn.operators import cache
+
+    rng = random.Random(3)
+    log = [(c, s, rng.choice(["a", "b", "c", "d", None]), rng.choice([4, 30])) for c in (1, 2) for s in range(40)]
+    want = set()
+    for c in (1, 2):
+        held = OrderedDict()
+        for _, s, key, size in [x for x in log if x[0] == c]:
+            want.add((c, s, key in held))
+            if key in held:
+                held.move_to_end(key)
+            elif key is not None and size <= 10:
+                held[key] = size
+                while sum(held.values()) > 10:
+                    held.popitem(last=False)
+    df = rows("c int, s int, key string, size bigint, hit string", *[(*x, "q") for x in log])
+    assert as_set(cache.replay(df, ["c"], ["s"], 10)) == want and cache.replay(df.limit(0), ["c"], ["s"]).count() == 0
