@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +74,7 @@ def apply_requests(ns: Namespace, requests: DataFrame, now_ns: int, chunk_size:
     spark = requests.sparkSession
     scratch = Scratch(spark, "mutations")
     staged = scratch.write(waves(requests, ns.next_ino))
+    ns = Namespace(scratch.write(ns.inodes.select(*FIELDS)), scratch.write(ns.dirents.select("bucket", "dir_id", "name", "child_id")), scratch.write(ns.next_ino))
     last = staged.agg(F.max("wave")).first()[0] or 0
     results = spark.createDataFrame([], "bucket string, seq bigint, status int, id bigint")
     for wave in range(1, last + 1):
@@ -82,7 +83,7 @@ def apply_requests(ns: Namespace, requests: DataFrame, now_ns: int, chunk_size:
     return ns, results
 
 
-def _who(prefix: str = "") -> P.Who:
+def _who() -> P.Who:
     return P.Who(F.col("uid"), F.col("gid"), F.col("gids"))
 
 
@@ -110,7 +111,7 @@ def _apply_wave(ns: Namespace, wave: DataFrame, now: int, chunk_size: int, mode:
         asked = asked.join(above, ["bucket", "to_dir"], "left")
     else:
         asked = asked.withColumn("t_above", F.lit(None).cast("array<bigint>"))
-    asked = scratch.write(asked.withColumn("status", _status(chunk_size, mode).cast("int")))
+    asked = scratch.write(_with_status(asked, chunk_size, mode))
     ok = asked.filter("status = 0")
     made = ok.filter(F.col("op").isin("create", "mkdir", "symlink") & F.col("c_id").isNull())
 
@@ -160,29 +161,40 @@ def _apply_wave(ns: Namespace, wave: DataFrame, now: int, chunk_size: int, mode:
     return Namespace(after_inodes, after_names, next_ino), result
 
 
-def _status(chunk_size: int, mode: str) -> Column:
-    """The first refusal of each request, in the order the operation asks."""
+def _with_status(asked: DataFrame, chunk_size: int, mode: str) -> DataFrame:
+    """The first refusal of each request, in the order its operation asks.
+
+    Verdicts are columns of their own first: nested in each other, their
+    expressions would double with every step.
+    """
     who, op = _who(), F.col("op")
-    making, cutting = op.isin("create", "mkdir", "symlink"), op.isin("remove", "rmdir")
-    bad_dir = F.when(F.col("d_type").isNull(), S.STALE).otherwise(S.OK)
-    names = P.all_of(name_status(F.col("name")), F.when(op == "rename", name_status(F.col("to_name"))).otherwise(S.OK))
-    free = F.when(F.col("c_id").isNull(), S.OK).when((op != "create") | F.coalesce("exclusive", F.lit(False)), S.EXIST).when(F.col("c_type").isNull(), S.NOENT).when(F.col("c_type") == S.DIR, S.EXIST).otherwise(S.OK)
-    make = P.all_of(
-        F.when((op == "symlink") & (F.coalesce("target", F.lit("")) == ""), S.INVAL).otherwise(S.OK), names,
-        F.when((op == "create") & (F.col("new_size") > MAX_CHUNKS * chunk_size), S.FBIG).otherwise(S.OK), bad_dir, P.dir_access(who, _what("d"), P.WRITE | P.EXEC), free)
-    cut = P.all_of(
-        names, bad_dir, P.dir_access(who, _what("d"), P.WRITE | P.EXEC), F.when(F.col("c_type").isNull(), S.NOENT).otherwise(S.OK),
-        F.when((op == "rmdir") & (F.col("c_type") != S.DIR), S.NOTDIR).when((op == "remove") & (F.col("c_type") == S.DIR), S.ISDIR).when((op == "rmdir") & (F.col("c_n") > 0), S.NOTEMPTY).otherwise(S.OK))
-    moving_dir, victim_dir = F.col("c_type") == S.DIR, F.col("v_type") == S.DIR
-    victim = F.when(F.col("v_type").isNull() | (F.col("v_id") == F.col("c_id")), S.OK).when(victim_dir & ~moving_dir, S.ISDIR).when(~victim_dir & moving_dir, S.NOTDIR).when(victim_dir & (F.col("v_n") > 0), S.NOTEMPTY).otherwise(S.OK)
-    move = P.all_of(
-        names, bad_dir, F.when(F.col("t_type").isNull(), S.STALE).otherwise(S.OK), P.rename(who, _what("d"), _what("t")), F.when(F.col("c_type").isNull(), S.NOENT).otherwise(S.OK),
-        F.when(moving_dir & F.coalesce(F.array_contains("t_above", F.col("c_id")), F.lit(False)), S.INVAL).otherwise(S.OK), victim)
-    change = P.all_of(
-        F.when(F.col("o_type").isNull(), S.STALE).otherwise(S.OK), guard_status(F.col("o_ctime_ns"), F.col("guard_ns")),
-        P.set_attributes(who, _what("o"), F.col("new_size"), F.col("new_mode"), F.col("new_uid"), F.col("new_gid"), F.col("new_atime_ns"), F.col("new_mtime_ns")))
-    rule = F.when(making, make).when(cutting, cut).when(op == "rename", move).when(op == "setattr", change).otherwise(S.SERVERFAULT)
-    return P.all_of(mount_gate(F.lit(mode)), rule)
+    making = op.isin("create", "mkdir", "symlink")
+    is_dir = lambda c: F.col(f"{c}_type") == S.DIR
+    none, verdict = lambda c: F.col(f"{c}_type").isNull(), lambda test, code: F.when(test, code)
+    asked = asked.withColumns({
+        "_name": F.greatest(name_status(F.col("name")), F.when(op == "rename", name_status(F.col("to_name"))).otherwise(S.OK)),
+        "_first": name_status(F.col("name")), "_enter": P.dir_access(who, _what("d"), P.WRITE | P.EXEC), "_both": P.rename(who, _what("d"), _what("t")), "_guard": guard_status(F.col("o_ctime_ns"), F.col("guard_ns")),
+        "_write": P.file_access(who, _what("o"), P.WRITE), "_chmod": P.chmod(who, _what("o")), "_chown": P.chown(who, _what("o"), F.col("new_uid")), "_chgrp": P.chgrp(who, _what("o"), F.col("new_gid")), "_times": P.set_times(who, _what("o")),
+    })
+    bad = lambda c, given=None: F.when((F.col(c) != S.OK) & (F.lit(True) if given is None else given.isNotNull()), F.col(c))
+    name = F.coalesce(bad("_first"), bad("_name"))
+    gone = verdict(none("d"), S.STALE)
+    asked = asked.withColumns({
+        "_make": F.coalesce(
+            verdict((op == "symlink") & (F.coalesce("target", F.lit("")) == ""), S.INVAL), name, verdict((op == "create") & (F.col("new_size") > MAX_CHUNKS * chunk_size), S.FBIG), gone, bad("_enter"),
+            verdict(F.col("c_id").isNotNull(), F.when((op != "create") | F.coalesce("exclusive", F.lit(False)), S.EXIST).when(none("c"), S.NOENT).when(is_dir("c"), S.EXIST))),
+        "_cut": F.coalesce(name, gone, bad("_enter"), verdict(none("c"), S.NOENT), verdict((op == "rmdir") & ~is_dir("c"), S.NOTDIR), verdict((op == "remove") & is_dir("c"), S.ISDIR), verdict((op == "rmdir") & (F.col("c_n") > 0), S.NOTEMPTY)),
+        "_move": F.coalesce(
+            name, gone, verdict(none("t"), S.STALE), bad("_both"), verdict(none("c"), S.NOENT), verdict(is_dir("c") & F.coalesce(F.array_contains("t_above", F.col("c_id")), F.lit(False)), S.INVAL),
+            verdict(~none("v") & (F.col("v_id") != F.col("c_id")), F.when(is_dir("v") & ~is_dir("c"), S.ISDIR).when(~is_dir("v") & is_dir("c"), S.NOTDIR).when(is_dir("v") & (F.col("v_n") > 0), S.NOTEMPTY))),
+        "_set": F.coalesce(
+            verdict(none("o"), S.STALE), bad("_guard"), bad("_write", F.col("new_size")), bad("_chmod", F.col("new_mode")), bad("_chown", F.col("new_uid")), bad("_chgrp", F.col("new_gid")),
+            bad("_times", F.coalesce("new_atime_ns", "new_mtime_ns"))),
+    })
+    rule = F.when(making, F.col("_make")).when(op.isin("remove", "rmdir"), F.col("_cut")).when(op == "rename", F.col("_move")).when(op == "setattr", F.col("_set")).otherwise(S.SERVERFAULT)
+    gate = mount_gate(F.lit(mode))
+    status = F.when(gate != S.OK, gate).otherwise(F.coalesce(rule, F.lit(S.OK))).cast("int")
+    return asked.withColumn("status", status).drop("_name", "_first", "_enter", "_both", "_guard", "_write", "_chmod", "_chown", "_chgrp", "_times", "_make", "_cut", "_move", "_set")
 
 
 def empty_requests(spark) -> DataFrame:

@@ -74,11 +74,11 @@ def src_05_list(spark, d):
 
 
 def src_08_load(spark, d):
-    refs = _refs(spark, d).filter("idx = 0")
+    refs = _refs(spark, d)
     held = table(spark, d, "chunks").select(chunk_hash(F.col("hash")).alias("hash"), F.col("len")).distinct()
     base = table(spark, d, "base_chunks").select("hash", "len")
     code = F.when(F.col("hash").isNull() | F.col("len").isNotNull(), S.OK).otherwise(S.IO)
-    return refs.join(held.unionByName(base).groupBy("hash").agg(F.max("len").alias("len")), "hash", "left").select("bucket", "id", F.coalesce("len", F.lit(0)).alias("len"), code.alias("status"))
+    return refs.join(held.unionByName(base).groupBy("hash").agg(F.max("len").alias("len")), "hash", "left").select("bucket", "id", F.col("idx").cast("bigint").alias("idx"), F.coalesce("len", F.lit(0)).alias("len"), code.alias("status"))
 
 
 def snk_04_upload(spark, d):
@@ -155,28 +155,29 @@ def _requests(spark, d):
     return _inodes(spark, d).select("bucket", "id", "type", "mode", "uid", "gid", F.explode(callers).alias("c")).select("*", "c.*").drop("c")
 
 
-WHO, WHAT = P.Who(F.col("c_uid"), F.col("c_gid"), F.col("c_gids")), P.What(F.col("type"), F.col("mode"), F.col("uid"), F.col("gid"))
+def _parties():
+    return P.Who(F.col("c_uid"), F.col("c_gid"), F.col("c_gids")), P.What(F.col("type"), F.col("mode"), F.col("uid"), F.col("gid"))
 
 
 def pol_01_checks(spark, d):
     asked = _requests(spark, d).withColumn("op", F.explode(F.array(*[F.lit(o) for o in OPS])))
-    return asked.select("bucket", "id", "c_uid", "c_gid", "op", P.check(F.col("op"), WHO, WHAT, uid=F.lit(501).cast("bigint"), gid=F.lit(20).cast("bigint")).alias("status"))
+    return asked.select("bucket", "id", "c_uid", "c_gid", "op", P.check(F.col("op"), *_parties(), uid=F.lit(501).cast("bigint"), gid=F.lit(20).cast("bigint")).alias("status"))
 
 
 def pol_14_access(spark, d):
     asked = _requests(spark, d)
-    return asked.select("bucket", "id", "c_uid", "c_gid", P.access_bits(WHO, WHAT).alias("bits"), P.access_bits(WHO, WHAT, F.lit(0x3F), F.lit(True)).alias("read_only_bits"))
+    return asked.select("bucket", "id", "c_uid", "c_gid", P.access_bits(*_parties()).alias("bits"), P.access_bits(*_parties(), F.lit(0x3F), F.lit(True)).alias("read_only_bits"))
 
 
 def pol_16_all(spark, d):
     own = P.custom(lambda who: F.when(who.uid == 4000, S.PERM).otherwise(S.OK))
-    return _requests(spark, d).select("bucket", "id", "c_uid", "c_gid", P.all_of(P.file_access(WHO, WHAT, P.READ), own(WHO), P.chmod(WHO, WHAT)).alias("status"))
+    return _requests(spark, d).select("bucket", "id", "c_uid", "c_gid", P.all_of(P.file_access(*_parties(), P.READ), own(_parties()[0]), P.chmod(*_parties())).alias("status"))
 
 
 def pol_18_setattr(spark, d):
     n = F.lit(None).cast("bigint")
     size, mode, atime = (F.when(F.col("id") % m == 0, F.lit(1).cast("bigint")) for m in (2, 3, 5))
-    return _requests(spark, d).select("bucket", "id", "c_uid", "c_gid", P.set_attributes(WHO, WHAT, size, mode, n, n, atime, n).alias("status"))
+    return _requests(spark, d).select("bucket", "id", "c_uid", "c_gid", P.set_attributes(*_parties(), size, mode, n, n, atime, n).alias("status"))
 
 
 def ns_01_lookup(spark, d):
@@ -236,7 +237,7 @@ def dat_04_reads(spark, d):
 
 def dat_08_truncate(spark, d):
     refs = _refs(spark, d)
-    cuts = _inodes(spark, d).filter("type = 1 AND id % 5 = 0").select("bucket", "id", F.col("size").alias("old_size"), F.floor(F.col("size") / 2).cast("bigint").alias("new_size"))
+    cuts = _inodes(spark, d).filter("type = 1").select("bucket", "id", F.col("size").alias("old_size"), F.floor(F.col("size") / 2).cast("bigint").alias("new_size"))
     return D.truncate(refs, cuts, ["bucket", "id"], 65536)[0].select("bucket", "id", F.col("idx").cast("bigint").alias("idx"), "hash")
 
 
@@ -349,8 +350,8 @@ def snk_05_encode(spark, d):
 def ns_03_ancestors(spark, d):
     tree = hierarchy.newest_tree(*[table(spark, d, n) for n in ("snapshots", "inodes", "dirents")])
     below = hierarchy.descendants(hierarchy.hierarchy(tree, trail=True))
-    inodes = _inodes(spark, d).filter("type = 2").select("bucket", "id")
-    pairs = inodes.join(inodes.select("bucket", F.col("id").alias("below_id")).filter("below_id % 7 = 1"), "bucket").filter("id % 7 < 2")
+    named = _dirents(spark, d)
+    pairs = named.select("bucket", F.col("dir_id").alias("id"), F.col("child_id").alias("below_id")).unionByName(named.select("bucket", F.col("child_id").alias("id"), F.col("dir_id").alias("below_id"))).distinct()
     return N.is_ancestor(pairs, below)
 
 
@@ -383,7 +384,7 @@ def dat_07_writes(spark, d):
 
 
 def dat_09_trims(spark, d):
-    cuts = _inodes(spark, d).filter("type = 1 AND id % 5 = 0").select("bucket", "id", F.col("size").alias("old_size"), F.floor(F.col("size") / 2).cast("bigint").alias("new_size"))
+    cuts = _inodes(spark, d).filter("type = 1").select("bucket", "id", F.col("size").alias("old_size"), F.floor(F.col("size") / 2).cast("bigint").alias("new_size"))
     shorter = cuts.withColumn("new_size", F.floor(F.col("new_size") - 7).cast("bigint")).filter("new_size > 0")
     trims = [D.truncate(_refs(spark, d), c, ["bucket", "id"], 65536)[1] for c in (cuts, shorter)]
     return D.least_trims(*trims, keys=["bucket", "id"]).select("bucket", "id", F.col("idx").cast("bigint").alias("idx"), F.col("to_len").cast("bigint").alias("to_len"))
@@ -406,7 +407,7 @@ def dat_16_punch(spark, d):
 def dat_19_unpinned(spark, d):
     inodes = _inodes(spark, d).select("bucket", "id")
     named = _dirents(spark, d).select("bucket", F.col("child_id").alias("id"))
-    return D.unpinned(inodes.join(named, ["bucket", "id"], "left_anti"), inodes.filter("id % 2 = 0"))
+    return D.unpinned(inodes.join(named, ["bucket", "id"], "left_anti"), _inodes(spark, d).filter("type = 5"))
 
 
 def int_04_lru(spark, d):
@@ -457,9 +458,9 @@ def mut_07_rename(spark, d):
 
 
 def mut_09_setattr(spark, d):
-    asked = _ask(_inodes(spark, d).filter("id = 2").select("bucket"), seq=F.lit(1), op=F.lit("setattr"), id=F.lit(2), uid=F.lit(501), gid=F.lit(20), new_mode=F.lit(0o600))
+    asked = _ask(_inodes(spark, d).select("bucket").distinct(), seq=F.lit(1), op=F.lit("setattr"), id=F.lit(1), uid=F.lit(501), gid=F.lit(20), new_mode=F.lit(0o600))
     ns, got = U.apply_requests(_mutable(spark, d), asked, 1_750_000_000_000_000_000)
-    return got.select("bucket", "status").join(ns.inodes.filter("id = 2").select("bucket", "mode"), "bucket")
+    return got.select("bucket", "status").join(ns.inodes.filter("id = 1").select("bucket", "mode"), "bucket", "left")
 
 
 def mut_11_guard(spark, d):

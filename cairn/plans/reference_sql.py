@@ -45,7 +45,7 @@ SQL = {
     "src_03_ranges": NS + "SELECT doc_id, hex(b[5:12]) AS bytes FROM f",
     "src_04_head": NS + "SELECT doc_id, size, md5(b) AS etag FROM f",
     "src_05_list": "SELECT DISTINCT 'chunks/' || lower(hash) AS key, len AS size FROM chunks WHERE 'chunks/' || lower(hash) > 'chunks/8' ORDER BY key LIMIT 100",
-    "src_08_load": NS + f", h AS (SELECT h, max(len) len FROM (SELECT {HASH.format(c='hash')} h, len FROM chunks UNION ALL SELECT hash, len FROM base_chunks) GROUP BY h) SELECT bucket, id, coalesce(len, 0) AS len, CASE WHEN hash IS NULL OR len IS NOT NULL THEN 0 ELSE 5 END AS status FROM r LEFT JOIN h ON h = hash WHERE idx = 0",
+    "src_08_load": NS + f", h AS (SELECT h, max(len) len FROM (SELECT {HASH.format(c='hash')} h, len FROM chunks UNION ALL SELECT hash, len FROM base_chunks) GROUP BY h) SELECT bucket, id, idx::BIGINT AS idx, coalesce(len, 0) AS len, CASE WHEN hash IS NULL OR len IS NOT NULL THEN 0 ELSE 5 END AS status FROM r LEFT JOIN h ON h = hash",
     "snk_04_upload": NS + ", e AS (SELECT DISTINCT sha256(encode(text)) h FROM eval_items WHERE strlen(text) <= 1024) SELECT sha256(data) AS hash, any_value(size) AS len FROM k WHERE sha256(data) NOT IN (SELECT h FROM e) GROUP BY sha256(data)",
     "snk_06_errors": "SELECT doc_id, CASE WHEN http_status = 404 OR doc_id % 3 = 1 THEN 'NotFound' WHEN http_status IN (412, 409) OR doc_id % 3 = 2 THEN 'Precondition' WHEN http_status = 501 THEN 'Unsupported' ELSE 'Other' END AS error FROM documents",
     "prj_01_getattr": NS + "SELECT bucket, id, gen, type, mode, nlink, uid, gid, size, atime_ns, mtime_ns, ctime_ns FROM n",
@@ -82,7 +82,7 @@ SQL = {
     "dat_01_chunks": NS + "SELECT doc_id, idx, sha256(data) AS hash, size FROM k",
     "dat_03_dedup": NS + "SELECT sha256(data) AS hash, count(*) AS n_refs, max(size) AS len FROM k GROUP BY sha256(data) HAVING count(*) > 1",
     "dat_04_reads": NS + "SELECT doc_id AS req, sha256(CASE WHEN size > 500 THEN b[501:least(size, 3500)] ELSE ''::BLOB END) AS digest, size <= 3500 AS eof, 0 AS status FROM f",
-    "dat_08_truncate": NS + ", c AS (SELECT bucket, id, size // 2 AS ns FROM n WHERE type = 1 AND id % 5 = 0), z AS (SELECT c.*, coalesce(max(r.idx) + 1, 0) AS have FROM c LEFT JOIN r USING (bucket, id) GROUP BY c.bucket, c.id, c.ns) SELECT r.bucket, r.id, idx::BIGINT AS idx, hash FROM r LEFT JOIN c USING (bucket, id) WHERE ns IS NULL OR idx < (ns + 65535) // 65536 UNION ALL SELECT bucket, id, i, NULL FROM z, range(have, (ns + 65535) // 65536) t(i)",
+    "dat_08_truncate": NS + ", c AS (SELECT bucket, id, size // 2 AS ns FROM n WHERE type = 1), z AS (SELECT c.*, coalesce(max(r.idx) + 1, 0) AS have FROM c LEFT JOIN r USING (bucket, id) GROUP BY c.bucket, c.id, c.ns) SELECT r.bucket, r.id, idx::BIGINT AS idx, hash FROM r LEFT JOIN c USING (bucket, id) WHERE ns IS NULL OR idx < (ns + 65535) // 65536 UNION ALL SELECT bucket, id, i, NULL FROM z, range(have, (ns + 65535) // 65536) t(i)",
     "dat_12_used": NS + "SELECT bucket, id, coalesce(sum(size) FILTER (hash IS NOT NULL), 0)::BIGINT AS used, count(*) FILTER (hash IS NULL) AS holes FROM r GROUP BY bucket, id",
     "dat_15_extents": NS + ", x AS (SELECT *, hash IS NULL AS hole, coalesce(sum(size) OVER (PARTITION BY bucket, id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM r), y AS (SELECT *, row_number() OVER (PARTITION BY bucket, id ORDER BY idx) - row_number() OVER (PARTITION BY bucket, id, hole ORDER BY idx) AS g FROM x) SELECT bucket, id, min(o)::BIGINT AS off, sum(size)::BIGINT AS len, hole FROM y GROUP BY bucket, id, hole, g",
     "dat_17_clone": NS + "SELECT r.bucket, r.id + 100000 AS id, (r.idx + 1)::BIGINT AS idx, r.hash, r.size FROM r JOIN r c ON c.bucket = r.bucket AND c.id = r.id AND c.idx = 2 WHERE r.idx < 3",
@@ -106,21 +106,21 @@ SQL = {
     "str_02_idempotent": "SELECT event_id, event_id % 5 IN (0, 2, 4) AS idempotent FROM events",
     "src_06_namespace": DOCS + "SELECT bucket, epoch, count(DISTINCT owner_id) AS n_inodes, count(DISTINCT CASE WHEN json_extract_string(x, '$.t') = '2' THEN owner_id END) AS n_dirs, max(owner_id) AS top_id FROM o GROUP BY bucket, epoch",
     "snk_05_encode": NS + "SELECT n.bucket, count(*) AS n_inodes, max(mtime_ns) AS newest_ns, any_value(k.c) AS n_entries FROM n LEFT JOIN (SELECT bucket, count(*) c FROM d SEMI JOIN n ON n.bucket = d.bucket AND n.id = d.dir_id GROUP BY bucket) k USING (bucket) GROUP BY n.bucket",
-    "ns_03_ancestors": BELOW + ", dirs AS (SELECT bucket, id FROM ino JOIN top USING (bucket, epoch) WHERE type = 2) SELECT a.bucket, a.id, b.id AS below_id, d.id IS NOT NULL OR a.id = b.id AS inside FROM dirs a JOIN dirs b ON a.bucket = b.bucket LEFT JOIN d ON d.bucket = a.bucket AND d.id = a.id AND d.below_id = b.id WHERE b.id % 7 = 1 AND a.id % 7 < 2",
+    "ns_03_ancestors": BELOW + ", nd AS (SELECT DISTINCT bucket, dir_id, child_id FROM dirents JOIN top USING (bucket, epoch)), a AS (SELECT bucket, dir_id AS id, child_id AS below_id FROM nd UNION SELECT bucket, child_id, dir_id FROM nd) SELECT a.bucket, a.id, a.below_id, d.id IS NOT NULL OR a.id = a.below_id AS inside FROM a LEFT JOIN d ON d.bucket = a.bucket AND d.id = a.id AND d.below_id = a.below_id",
     "ns_07_stats": "SELECT bucket, max(epoch) AS epoch, count(DISTINCT (epoch, id)) AS n_inodes FROM inodes GROUP BY bucket",
     "dat_05_refs": NS + ", x AS (SELECT bucket, id, 100000 + least(300000, size - 100000) AS e FROM n WHERE type = 1 AND size > 100000), y AS (SELECT bucket, id, e, i AS idx, greatest(100000, i * 65536) AS s FROM x, range(1, (e - 1) // 65536 + 1) t(i)) SELECT bucket, id, y.idx, hash, least(e, (y.idx + 1) * 65536) - s AS take FROM y JOIN r USING (bucket, id, idx) WHERE hash IS NOT NULL",
     "dat_06_overlay": NS + "SELECT doc_id, idx, CASE WHEN idx <> 1 THEN sha256(data) END AS hash, CASE WHEN idx = 1 THEN 8 ELSE size END AS size FROM k",
     "dat_07_writes": NS + f"""SELECT doc_id, 0::BIGINT AS idx, sha256({W0}) AS hash FROM f UNION ALL SELECT doc_id, 1, sha256({W1}) FROM f""",
-    "dat_09_trims": NS + ", c AS (SELECT bucket, id, size, unnest([size // 2, size // 2 - 7]) AS ns FROM n WHERE type = 1 AND id % 5 = 0) SELECT bucket, id, idx::BIGINT AS idx, min(ns % 65536) AS to_len FROM c JOIN r USING (bucket, id) WHERE ns > 0 AND ns < c.size AND ns % 65536 <> 0 AND idx = ns // 65536 AND hash IS NOT NULL GROUP BY bucket, id, idx",
+    "dat_09_trims": NS + ", c AS (SELECT bucket, id, size, unnest([size // 2, size // 2 - 7]) AS ns FROM n WHERE type = 1) SELECT bucket, id, idx::BIGINT AS idx, min(ns % 65536) AS to_len FROM c JOIN r USING (bucket, id) WHERE ns > 0 AND ns < c.size AND ns % 65536 <> 0 AND idx = ns // 65536 AND hash IS NOT NULL GROUP BY bucket, id, idx",
     "dat_10_flush": NS + f""", p AS (SELECT doc_id, 0::BIGINT AS idx, {W0} AS data FROM f UNION ALL SELECT doc_id, 1, {W1} FROM f)
         SELECT doc_id, idx, sha256(data) AS hash, octet_length(data)::BIGINT AS size FROM p UNION ALL SELECT doc_id, idx, sha256(data), size FROM k WHERE idx > 1""",
     "dat_13_limits": "SELECT DISTINCT bucket, chunk_size * 1048576 AS max_size FROM snapshots",
     "dat_16_punch": NS + "SELECT r.bucket, r.id, idx::BIGINT AS idx, CASE WHEN n.type = 1 AND idx IN (1, 2) THEN NULL ELSE hash END AS hash, r.size FROM r LEFT JOIN n ON n.bucket = r.bucket AND n.id = r.id",
-    "dat_19_unpinned": NS + "SELECT bucket, id FROM n WHERE id % 2 <> 0 AND NOT EXISTS (SELECT 1 FROM d WHERE d.bucket = n.bucket AND d.child_id = n.id)",
+    "dat_19_unpinned": NS + "SELECT bucket, id FROM n WHERE type <> 5 AND NOT EXISTS (SELECT 1 FROM d WHERE d.bucket = n.bucket AND d.child_id = n.id)",
     "mut_01_make": NS + ", t AS (SELECT n.bucket, max(n.id) + 1 AS nx FROM n WHERE bucket IN (SELECT bucket FROM d WHERE dir_id = 1) GROUP BY n.bucket) SELECT bucket, m.* FROM t, LATERAL (VALUES ('~new', nx, 1, 420, 1::BIGINT, 0::BIGINT), ('~dir', nx + 1, 2, 493, 2, 0), ('~link', nx + 2, 5, 511, 1, 2)) m(name, child_id, type, mode, nlink, size)",
     "mut_06_remove": NS + ", m AS (SELECT bucket, min(name) AS name, count(*) AS c FROM d WHERE dir_id = 1 GROUP BY bucket), s AS (SELECT m.*, CASE WHEN n.id IS NULL THEN 2 WHEN n.type = 2 THEN 21 ELSE 0 END AS status FROM m JOIN d ON d.bucket = m.bucket AND d.dir_id = 1 AND d.name = m.name LEFT JOIN n ON n.bucket = d.bucket AND n.id = d.child_id) SELECT bucket, status, c + 3 - CASE WHEN status = 0 THEN 1 ELSE 0 END AS n_names FROM s",
     "mut_07_rename": NS + ", m AS (SELECT bucket, min(name) AS name FROM d WHERE dir_id = 1 GROUP BY bucket) SELECT m.bucket, CASE WHEN n.id IS NULL THEN 2 ELSE 0 END AS status, n.id AS child_id FROM m JOIN d ON d.bucket = m.bucket AND d.dir_id = 1 AND d.name = m.name LEFT JOIN n ON n.bucket = d.bucket AND n.id = d.child_id",
-    "mut_09_setattr": NS + "SELECT bucket, CASE WHEN uid = 501 THEN 0 ELSE 1 END AS status, CASE WHEN uid = 501 THEN 384 ELSE mode END AS mode FROM n WHERE id = 2",
+    "mut_09_setattr": NS + "SELECT bucket, CASE WHEN uid = 501 THEN 0 ELSE 1 END AS status, CASE WHEN uid = 501 THEN 384 ELSE mode END AS mode FROM n WHERE id = 1",
     "mut_11_guard": NS + "SELECT bucket, id, CASE WHEN id % 2 <> 0 AND id % 3 = 0 AND ctime_ns <> 1 THEN 10002 ELSE 0 END AS status FROM n",
     "fsm_01_edges": "SELECT * FROM (VALUES ('Writable', 'Diverge', 'Diverged', 'mode'), ('Known', 'SwapOK', 'Known', 'rootKnowledge'), ('Known', 'SwapUnknown', 'InDoubt', 'rootKnowledge'), ('InDoubt', 'ProbeOurs', 'Known', 'rootKnowledge'), ('InDoubt', 'ProbeUnchanged', 'Known', 'rootKnowledge')) t(from_state, event, to_state, machine)",
 }

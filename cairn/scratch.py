@@ -7,6 +7,8 @@ read them again after any executor is lost. Only where that setting is absent
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -23,12 +25,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A folder of written tables that belongs to one run of one operator."""
+    """A folder of written tables that belongs to one run of one operator.
+
+    The operator's result reads the last of them, so they are removed when the
+    driver ends, or by ``drop`` once the result is stored.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        atexit.register(self.drop)
 
     def write(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         """Write df and return a DataFrame that reads what was written."""
@@ -39,6 +46,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        with contextlib.suppress(Exception):  # the JVM may have gone first
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        atexit.unregister(self.drop)
