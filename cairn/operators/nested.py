@@ -61,13 +61,13 @@ def visit(body: str | None) -> Iterator[tuple[str, int, str, dict]]:
             own = _whole(key)
         if own is None:
             continue
-        yield "inode", own, "", {k: node[k] for k in SCALARS if node.get(k) is not None}
+        yield "inode", own, "", {k: v for k in SCALARS if (v := node.get(k) if k == "lt" else _whole(node.get(k))) is not None}
         entries = node.get("e")
         for name, child in entries.items() if isinstance(entries, dict) else ():
             yield "entry", own, name, {"child_id": _whole(child)}
         chunks = node.get("c")
         for at, ref in enumerate(chunks if isinstance(chunks, list) else ()):
-            yield "chunk", own, str(at), {k: ref[k] for k in ("h", "s") if ref.get(k) is not None} if isinstance(ref, dict) else {}
+            yield "chunk", own, str(at), {k: v for k in ("h", "s") if (v := ref.get(k) if k == "h" else _whole(ref.get(k))) is not None} if isinstance(ref, dict) else {}
 
 
 def _text(s: str) -> str:
