@@ -135,7 +135,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, least_words: int = L
     """
     scratch = Scratch(documents.sparkSession, "reading")
     pages = scratch.write(profiles(documents, least_words))
-    level = scratch.write(levels(pages, word_grades(pages, known), broadcast_words).join(pages.select("doc_id", "n_words", "grade"), "doc_id").select(
+    level = scratch.write(levels(pages, scratch.write(word_grades(pages, known)), broadcast_words).join(pages.select("doc_id", "n_words", "grade"), "doc_id").select(
         "doc_id", "n_words", F.coalesce("level", "grade").alias("level")).distinct())
     number = F.array_position(F.array(*[F.lit(b) for b in BANDS]), F.col("band")) - 1
     one = labels.filter(F.col("band").isin(*BANDS)).groupBy("doc_id", number.alias("b")).agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("b")).alias("low"))).alias("m")).select("doc_id", (-F.col("m.low")).alias("b"))
