@@ -38,6 +38,13 @@ def _newest(spark: SparkSession, d: str) -> DataFrame:
     return broadcast_if_small(snapshots.groupBy("bucket").agg(F.max("epoch").alias("epoch")), snapshots, ("bucket",))
 
 
+def _kept(spark: SparkSession, d: str) -> DataFrame:
+    """(bucket, epoch) of every snapshot not pruned, each bucket's newest in any case: the roots of a mark."""
+    snapshots = table(spark, d, "snapshots")
+    kept = snapshots.filter("pruned_ns IS NULL").select("bucket", "epoch").union(snapshots.groupBy("bucket").agg(F.max("epoch").alias("epoch"))).distinct()
+    return broadcast_if_small(kept, snapshots, ("bucket",))
+
+
 def _inodes(spark, d):
     rows = table(spark, d, "inodes").join(_newest(spark, d), ["bucket", "epoch"], "left_semi")
     return standing_inodes(rows, {c: F.col(c) for c in ATTRS}, *ATTRS).select("bucket", "id", "gen", *[low_mode(F.col(c)).alias(c) if c == "mode" else c for c in ATTRS])
@@ -303,7 +310,7 @@ def cmt_16_as_of(spark, d):
 
 
 def cmt_17_mark(spark, d):
-    return R.reachable(table(spark, d, "chunk_refs"), _newest(spark, d))
+    return R.reachable(table(spark, d, "chunk_refs"), _kept(spark, d))
 
 
 def cmt_18_sweep(spark, d):
