@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions import status as S
 from cairn.operators.attributes import handle
 from cairn.operators.hierarchy import ROOT_ID
+from cairn.scratch import Scratch
 
 HEADROOM_BYTES, HEADROOM_FILES = 1 << 50, 1 << 30
 ENTRY_COST, ENTRY_PLUS_COST = 32, 160
@@ -31,21 +32,93 @@ def lookup(requests: DataFrame, inodes: DataFrame, dirents: DataFrame) -> DataFr
     return found.withColumn("status", code).withColumn("child_id", F.when(F.col("status") == S.OK, F.col("child_id"))).drop("_t", "_p", "_c", "_there")
 
 
-def walk_paths(requests: DataFrame, inodes: DataFrame, dirents: DataFrame, depth: int) -> DataFrame:
+def walk_paths(requests: DataFrame, inodes: DataFrame, dirents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``requests`` (bucket, path, …) with the inode at the end of the path and a status: repeated lookup from the root.
 
-    As many joins as ``depth``; a longer path is refused with INVAL.
+    A path may have any number of names. It goes ahead in jumps of 2^k names, the
+    longest first, one try each; the name that no jump passes is looked up, which
+    tells why a walk ends, or takes it over a '.' or '..', from where it jumps
+    again. Rounds go on until no request is unfinished, so there are as many as
+    dots in a path, not as names.
     """
-    parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    at = requests.withColumns({"_parts": parts, "dir_id": F.lit(ROOT_ID).cast("bigint"), "status": F.when(F.size(parts) > depth, S.INVAL).otherwise(S.OK)})
-    for k in range(depth):
-        step = at.withColumn("name", F.coalesce(F.get("_parts", F.lit(k)), F.lit("."))).withColumnRenamed("status", "_before")
-        step = lookup(step, inodes, dirents)
-        ended = F.col("_before") != S.OK
-        past = F.get("_parts", F.lit(k)).isNull()
-        at = step.withColumn("status", F.when(ended, F.col("_before")).when(past, S.OK).otherwise(F.col("status"))).withColumn(
-            "dir_id", F.when(past & ~ended, F.col("dir_id")).otherwise(F.col("child_id"))).drop("child_id", "name", "_before")
-    return at.withColumn("id", F.when(F.col("status") == S.OK, F.col("dir_id"))).drop("_parts", "dir_id")
+    scratch = scratch or Scratch(requests.sparkSession, "walk")
+    parts = F.filter(F.split(F.coalesce("path", F.lit("")), "/"), lambda x: x != "")
+    open_ = scratch.write(requests.withColumns({"_parts": parts, "dir_id": F.lit(ROOT_ID).cast("bigint"), "status": F.lit(S.OK)}))
+    done = None
+    while True:
+        jumped = scratch.write(_jump(open_, inodes, dirents, scratch))
+        rest = jumped.filter(F.size("_parts") > 0).drop("status").withColumn("name", F.get("_parts", F.lit(0)))
+        step = lookup(rest, inodes, dirents).withColumns({"dir_id": F.col("child_id"), "_parts": F.slice("_parts", F.lit(2), F.size("_parts"))})
+        state = scratch.write(jumped.filter(F.size("_parts") == 0).unionByName(step.select(jumped.columns)))
+        unfinished = (F.col("status") == S.OK) & (F.size("_parts") > 0)
+        ended = state.filter(~unfinished)
+        done = ended if done is None else done.unionByName(ended)
+        open_ = state.filter(unfinished)
+        if open_.isEmpty():
+            return done.withColumn("id", F.when(F.col("status") == S.OK, F.col("dir_id"))).drop("_parts", "dir_id")
+
+
+def _jump(state: DataFrame, inodes: DataFrame, dirents: DataFrame, scratch: Scratch) -> DataFrame:
+    """``state`` (bucket, _parts, dir_id, …) carried on over the entries that lookup would pass.
+
+    A stretch of 2^k names is made of two of half its length, and only where a
+    request asks for it. Stretches are taken at multiples of their length. A try
+    that fails leaves its reason within the next 2^k names, so shorter ones need
+    one try each as well.
+    """
+    longest = state.agg(F.max(F.size("_parts"))).first()[0] or 0
+    dirs = inodes.filter(F.col("type") == S.DIR).select("bucket", F.col("id").alias("dir_id"))
+    there = inodes.select("bucket", F.col("id").alias("child_id"))
+    made = _spelt(dirents).join(dirs, ["bucket", "dir_id"], "left_semi").join(there, ["bucket", "child_id"], "left_semi").select(
+        "bucket", F.col("dir_id").alias("_top"), F.col("name").alias("_names"), F.col("child_id").alias("_end"))
+    stretches = []
+    for k in range(longest.bit_length()):
+        n = 1 << k
+        whole = F.sequence(F.lit(0), F.floor(F.size("_parts") / n).cast("int") - 1)
+        cut = F.transform(whole, lambda i: F.array_join(F.slice("_parts", i * n + 1, F.lit(n)), "/"))  # noqa: B023
+        asked = state.filter(F.size("_parts") >= n).select("bucket", F.explode(cut).alias("_names")).distinct()
+        if k:
+            after = stretches[-1].select("bucket", F.col("_top").alias("_end"), F.col("_names").alias("_then"), F.col("_end").alias("_last"))
+            made = stretches[-1].join(after, ["bucket", "_end"]).select("bucket", "_top", F.concat_ws("/", "_names", "_then").alias("_names"), F.col("_last").alias("_end"))
+        stretches.append(scratch.write(made.join(asked, ["bucket", "_names"], "left_semi")))
+    for k in reversed(range(len(stretches))):
+        n, kept = 1 << k, state.columns
+        next_ = F.when(F.size("_parts") >= n, F.array_join(F.slice("_parts", F.lit(1), F.lit(n)), "/"))
+        tried = state.withColumn("_names", next_).join(stretches[k].withColumnRenamed("_top", "dir_id"), ["bucket", "dir_id", "_names"], "left")
+        went = F.col("_end").isNotNull()
+        state = tried.withColumns({
+            "dir_id": F.coalesce("_end", "dir_id"), "_parts": F.when(went, F.slice("_parts", F.lit(n + 1), F.size("_parts"))).otherwise(F.col("_parts"))}).select(kept)
+    return state
+
+
+def _spelt(dirents: DataFrame) -> DataFrame:
+    """Entries whose name can stand in a path."""
+    return dirents.filter(F.col("name").isNotNull() & ~F.col("name").isin("", ".", "..") & ~F.contains("name", F.lit("/")))
+
+
+def entry_paths(dirents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(bucket, path, dir_id, name, child_id): every entry by each path of names that leads to it from the root.
+
+    A path goes through no directory twice; one that closes a circle ends there.
+    A directory of several names has its entries under each. Entries that no
+    names lead to have no path. Links between directories double in length each
+    round until none goes on, so rounds are the logarithm of the depth.
+    """
+    scratch = scratch or Scratch(dirents.sparkSession, "paths")
+    named = _spelt(dirents)
+    inner = named.select("bucket", F.col("dir_id").alias("child_id")).distinct()
+    links = scratch.write(named.join(inner, ["bucket", "child_id"], "left_semi").filter(F.col("child_id") != F.col("dir_id")).select(
+        "bucket", F.col("dir_id").alias("at"), F.col("child_id").alias("end"), F.concat(F.lit("/"), "name").alias("more"), F.array("child_id").alias("through")))
+    root = F.lit(ROOT_ID).cast("bigint")
+    reached = named.select("bucket").distinct().select("bucket", root.alias("end"), F.lit("").alias("path"), F.array(root).alias("above"))
+    while not links.isEmpty():
+        on = reached.select("bucket", F.col("end").alias("at"), "path", "above").join(links, ["bucket", "at"]).filter(~F.arrays_overlap("above", "through"))
+        reached = scratch.write(reached.unionByName(on.select("bucket", "end", F.concat("path", "more").alias("path"), F.concat("above", "through").alias("above"))))
+        ahead = links.select("bucket", F.col("at").alias("end"), F.col("end").alias("_end"), F.col("more").alias("_more"), F.col("through").alias("_through"))
+        further = links.join(ahead, ["bucket", "end"]).filter(~F.arrays_overlap(F.concat(F.array("at"), "through"), "_through"))
+        links = scratch.write(further.select("bucket", "at", F.col("_end").alias("end"), F.concat("more", "_more").alias("more"), F.concat("through", "_through").alias("through")))
+    above = reached.select("bucket", F.col("end").alias("dir_id"), "path")
+    return named.join(above, ["bucket", "dir_id"]).select("bucket", F.concat("path", F.lit("/"), "name").alias("path"), "dir_id", "name", "child_id")
 
 
 def listing(dirents: DataFrame, inodes: DataFrame) -> DataFrame:

@@ -195,9 +195,8 @@ def ns_01_lookup(spark, d):
 
 def ns_02_walk(spark, d):
     inodes, dirents = _inodes(spark, d), _dirents(spark, d)
-    up = dirents.filter("dir_id = 1").select("bucket", F.col("name").alias("_a"), F.col("child_id").alias("dir_id"))
-    asked = dirents.join(up, ["bucket", "dir_id"]).select("bucket", F.concat(F.lit("/"), F.col("_a"), F.lit("/"), F.col("name")).alias("path"))
-    return N.walk_paths(asked, inodes, dirents, 2).select("bucket", "path", "id", "status")
+    asked = N.entry_paths(dirents).select("bucket", "path")
+    return N.walk_paths(asked, inodes, dirents).select("bucket", "path", "id", "status")
 
 
 def ns_04_listing(spark, d):
