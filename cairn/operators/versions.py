@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators.snapshots import attribute, snapshot_index, standing_inodes
 from cairn.planning import broadcast_if_small
+from cairn.scratch import Scratch
 
 #: valid_to of a version that still holds.
 OPEN = -1
@@ -45,12 +46,23 @@ def merge_versions(current: DataFrame | None, batch: DataFrame, index: DataFrame
     return new if done is None else done.select(new.columns).unionByName(new)
 
 
-def inode_versions(snapshots: DataFrame, inodes: DataFrame) -> DataFrame:
-    """All versions of size and mode of every inode, from all snapshots at once.
+def inode_versions(snapshots: DataFrame, inodes: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """All versions of size and mode of every inode: the first half of a bucket's snapshots is loaded, the rest merged in.
 
-    Of an inode's rows in a snapshot the latest stands; nulls are values like any
-    other; rows of unknown snapshots are left out; empty tables give no rows.
+    The load, into an empty dimension, is written; what comes after is compared
+    with its open versions. Of an inode's rows in a snapshot the latest stands;
+    nulls are values like any other; rows of unknown snapshots are left out;
+    empty tables give no rows.
     """
-    index = broadcast_if_small(snapshot_index(snapshots).drop("created_ns"), snapshots, ("bucket",))
-    batch = standing_inodes(inodes, {n: attribute(n) for n in ("size", "mode")}, "size", "mode")
-    return merge_versions(None, batch, index)
+    scratch = scratch or Scratch(snapshots.sparkSession, "versions")
+    index = scratch.write(snapshot_index(snapshots).drop("created_ns"))
+    cut = index.groupBy("bucket").agg(F.floor(F.max("idx") / 2).alias("_cut"))
+    cut = index.join(cut, "bucket")
+    early, late = cut.filter("idx <= _cut"), cut.filter("idx > _cut").drop("_cut")
+    # the load does not know what follows: its last snapshot has no next one
+    early = early.withColumn("next_epoch", F.when(F.col("idx") < F.col("_cut"), F.col("next_epoch"))).drop("_cut")
+    small = lambda df: broadcast_if_small(df, index, ("bucket",))
+    part = lambda of: standing_inodes(inodes.join(small(of.select("bucket", "epoch")), ["bucket", "epoch"], "left_semi"), {n: attribute(n) for n in ("size", "mode")}, "size", "mode")
+    loaded = scratch.write(merge_versions(None, part(early), small(early)))
+    merged = early.groupBy("bucket").agg(F.max("epoch").alias("epoch"))
+    return merge_versions(loaded, part(late), small(index), small(merged))
