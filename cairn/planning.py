@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +39,23 @@ def row_order(loaded_at: Column, tie: Column) -> Column:
     """
     at = F.coalesce(F.unix_micros(loaded_at.cast("timestamp")), F.lit(0)).cast("decimal(17,0)")
     return (at * F.lit(str(2**64)).cast("decimal(20,0)") + tie.cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
+#: Keys that can be found hot at once; with more rows than this times ``most`` only keys of a larger share are.
+HOT_KEYS = 4096
+
+
+def hot_keys(df: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, _pieces) of the keys of ``df`` that have more than ``most`` rows: into how many pieces of that size to cut each.
+
+    One scan of the key, kept in a frequency sketch of 16 entries for each key
+    that can come out: none of more than ``most`` rows, or of one row in
+    HOT_KEYS, is missed, and a key is cut once too often at worst. At most
+    HOT_KEYS rows come out, so they can be broadcast.
+    """
+    sketch = F.expr(f"approx_top_k({key}, {HOT_KEYS}, {16 * HOT_KEYS})")
+    got = df.filter(F.col(key).isNotNull()).agg(F.count("*").alias("n"), sketch.alias("top")).first()
+    least = max(most, (got.n or 0) // HOT_KEYS)
+    hot = [(int(x["item"]), -(-int(x["count"]) // most)) for x in got.top or () if x["count"] > least]
+    rows = F.from_json(F.lit(json.dumps([{key: k, "_pieces": n} for k, n in hot])), f"array<struct<{key}: bigint, _pieces: int>>")
+    return df.sparkSession.range(1).select(F.inline(rows))
