@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators import changes, hierarchy, nested, orphans, terms, versions
+from cairn.operators import changes, hierarchy, nested, orphans, versions
 from cairn.tables import table
 
 
@@ -34,14 +34,6 @@ def p2_chunks(spark, d):
     return nested.typed(nested.flatten(table(spark, d, "snapshot_docs")), "chunk")
 
 
-def p3_found(spark, d):
-    return terms.hash_frequencies(table(spark, d, "chunk_refs")).filter("mark IS NOT NULL").select("hash", "mark")
-
-
-def p3_frequencies(spark, d):
-    return terms.hash_frequencies(table(spark, d, "chunk_refs"))
-
-
 def _orphans(spark, d):
     return orphans.orphan_references(*_tables(spark, d, "snapshots", "roots", "inodes", "dirents", "chunk_refs", "chunks", "base_chunks"))
 
@@ -76,4 +68,4 @@ def p6_subtrees(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p2_found, p2_inodes, p2_entries, p2_chunks, p3_found, p3_frequencies, p4_found, p4_report, p5_found, p5_history, p6_found, p6_descendants, p6_subtrees)}
+    p1_found, p2_found, p2_inodes, p2_entries, p2_chunks, p4_found, p4_report, p5_found, p5_history, p6_found, p6_descendants, p6_subtrees)}

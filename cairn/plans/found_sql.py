@@ -37,12 +37,6 @@ UNION SELECT bucket, epoch, 'entry', owner_id, name FROM e UNION SELECT bucket,
 P2_INODES = DOCS + "SELECT DISTINCT bucket, epoch, owner_id AS id, " + ", ".join(
     f"json_extract_string(x, '$.{k}')::{'INT' if k == 't' else 'BIGINT'} AS {k}" for k in ("gen", "t", "m", "u", "g", "n", "sz", "at", "mt", "ct", "p")) + ", json_extract_string(x, '$.lt') AS lt FROM o"
 
-FREQ = f"""
-WITH r AS (SELECT DISTINCT bucket, epoch, inode_id, idx, {HASH.format(c='hash')} hash FROM chunk_refs),
-g AS (SELECT hash, count(*) n_refs, count(DISTINCT (bucket, epoch, inode_id)) n_records FROM r WHERE regexp_full_match(hash, '[0-9a-f]{{64}}') GROUP BY hash)
-SELECT hash, n_refs, n_records, CASE WHEN n_records = 1 THEN 'rare' WHEN n_records >= 100 THEN 'common' END AS mark FROM g
-"""
-
 P4 = f"""
 WITH {SNAPS},
 life AS (SELECT {HASH.format(c='hash')} h, stored_ns a, coalesce(deleted_ns, 9223372036854775807) b FROM chunks),
@@ -94,8 +88,6 @@ SQL = {
     "p2_inodes": P2_INODES,
     "p2_entries": DOCS + """SELECT DISTINCT bucket, epoch, owner_id AS dir_id, name, json_extract_string(x, '$.e."' || name || '"')::BIGINT AS child_id FROM e""",
     "p2_chunks": DOCS + "SELECT DISTINCT bucket, epoch, owner_id AS inode_id, idx::INT AS idx, json_extract_string(y, '$.h') AS h, json_extract_string(y, '$.s')::BIGINT AS s FROM c",
-    "p3_frequencies": FREQ,
-    "p3_found": f"SELECT hash, mark FROM ({FREQ}) WHERE mark IS NOT NULL",
     "p4_found": P4,
     "p4_report": f"SELECT src, bucket, epoch, reason, count(*) AS n FROM ({P4}) GROUP BY ALL",
     "p5_history": HISTORY,

@@ -2,12 +2,11 @@
 
 import json
 import random
-from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import changes, hierarchy, nested, orphans, snapshots, terms, versions
+from cairn.operators import changes, hierarchy, nested, orphans, snapshots, versions
 from tests.conftest import as_set
 
 SNAP = "bucket string, epoch bigint, created_ns bigint, pruned_ns bigint, key string, loaded_at timestamp, idx int, prev_epoch int"
@@ -140,32 +139,6 @@ def test_flat_tables_typed_and_written(spark, rows, tmp_path):
     assert as_set(read("inode").select("id", "gen", "t", "lt")) == {(1, 5, 2, None), (2, None, 1, "q")}
 
 
-@pytest.mark.parametrize("longest", [1, 2, 3])
-def test_sequences_against_brute_force(rows, longest):
-    rng = random.Random(longest)
-    texts = {r: [rng.choice(["z", "z", "z", "a", "b", None]) for _ in range(rng.randint(0, 30))] for r in range(25)}
-    data = [(r, k, t, "x") for r, ts in texts.items() for k, t in enumerate(ts)]
-    df = rows("rec int, pos int, t string, terms string", *data, *data[:40])
-    n, records = Counter(), defaultdict(set)
-    for r, ts in texts.items():
-        for k in range(len(ts)):
-            for m in range(1, longest + 1):
-                gram = tuple(ts[k : k + m])
-                if len(gram) == m and None not in gram:
-                    n[gram] += 1
-                    records[gram].add(r)
-    got = {tuple(r.terms): (r.n, r.n_records) for r in terms.count_sequences(df, ["rec"], "pos", "t", longest).collect()}
-    assert got == {g: (n[g], len(records[g])) for g in n}
-    assert terms.count_sequences(df.limit(0), ["rec"], "pos", "t", longest).count() == 0
-
-
-def test_hash_frequencies(rows):
-    ref = lambda e, i, idx, h: ("a", e, i, idx, h, 1, at(0), "x", "x")
-    c = rows(REF, ref(1, 1, 0, H[1]), ref(1, 1, 0, H[1].upper()), ref(1, 1, 1, f" sha256:{H[1]}\n"), *[ref(e, 1, 0, H[2]) for e in range(100)], ref(1, 2, 0, H[3][:63]), ref(1, 2, 1, None), ref(1, 2, 2, ""), ref(1, 2, None, H[4]), ref(None, None, None, H[4]))
-    assert as_set(terms.hash_frequencies(c)) == {(H[1], 2, 1, "rare"), (H[2], 100, 100, "common"), (H[4], 2, 2, None)}
-    assert terms.hash_frequencies(c.limit(0)).count() == 0
-
-
 @pytest.mark.parametrize("split", [1_000_000, 7])
 def test_probe_against_brute_force(rows, split):
     rng = random.Random(5)
