@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +54,11 @@ def machines() -> Iterable[Machine]:
     return Machine("mode", MOUNT_MODE), Machine("rootKnowledge", ROOT_KNOWLEDGE)
 
 
+def _verdicts(found, fresh, failed, understood, ours, same, tagged) -> list:
+    """What a read of the root pointer shows, the first that holds; for columns and for plain truth values alike."""
+    return [(~found & fresh, "Unchanged"), (~found, "Theirs"), (failed, "Failed"), (~understood, "Failed"), ((ours | same) & ~tagged, "Failed"), (ours, "Ours"), (same, "Unchanged")]
+
+
 def classify_root(found: Column, failed: Column, version: Column, snapshot: Column, etag: Column, known: Column, doubt: Column) -> Column:
     """What a read of the root pointer shows of an attempt in doubt: Ours, Unchanged, Theirs or Failed.
 
@@ -60,14 +66,20 @@ def classify_root(found: Column, failed: Column, version: Column, snapshot: Colu
     cannot be read or has another version is Failed, as is one of ours or the
     known one without an ETag.
     """
-    blank = F.coalesce(known, F.lit("")) == ""
-    no_tag = F.coalesce(etag, F.lit("")) == ""
-    return (
-        F.when(~found & blank, "Unchanged").when(~found, "Theirs").when(failed, "Failed")
-        .when(F.coalesce(version, F.lit(0)).cast("int").eqNullSafe(F.lit(1)) & (F.coalesce(snapshot, F.lit("")) != ""), F.when(snapshot == doubt, F.when(no_tag, "Failed").otherwise("Ours"))
-              .when(snapshot == known, F.when(no_tag, "Failed").otherwise("Unchanged")).otherwise("Theirs"))
-        .otherwise("Failed")
-    )
+    no = lambda c: F.coalesce(c, F.lit("")) == ""
+    understood = F.coalesce(version, F.lit(0)).cast("int").eqNullSafe(F.lit(1)) & ~no(snapshot)
+    out = F
+    for holds, verdict in _verdicts(found, no(known), failed, understood, F.coalesce(snapshot == doubt, F.lit(False)), F.coalesce(snapshot == known, F.lit(False)), ~no(etag)):
+        out = out.when(holds, verdict)
+    return out.otherwise("Theirs")
+
+
+def classify_reading(found: bool, failed: bool, root: object, etag: str, known: str, doubt: str) -> str:
+    """classify_root of one reading: ``root`` is its decoded body."""
+    body = root if isinstance(root, dict) else {}
+    snapshot = body.get("snapshot") or ""
+    cases = (found, not known, failed, body.get("version") == 1 and bool(snapshot), snapshot == doubt, snapshot == known, bool(etag))
+    return next((verdict for holds, verdict in _verdicts(*map(np.bool_, cases)) if holds), "Theirs")
 
 
 def store_error(status: Column, code: Column) -> Column:
