@@ -24,6 +24,12 @@ def _hex64(c: Column) -> Column:
     return (F.octet_length(c) == 64) & F.unhex(c).isNotNull()
 
 
+def hash_bytes(c: Column) -> Column:
+    """The 32 bytes of a well-formed hash, however spelled; null of a hole or a damaged one."""
+    plain = F.regexp_replace(F.regexp_replace(c, HASH_PREFIX, ""), r"\s+$", "")
+    return F.when(F.octet_length(c) == 64, F.unhex(c)).otherwise(F.when(F.octet_length(plain) == 64, F.unhex(plain)))
+
+
 def is_hash(c: Column) -> Column:
     """Whether a value made by chunk_hash is 64 hex digits; null is none."""
     return F.coalesce(_hex64(c), F.lit(False))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,14 +13,12 @@ from pyspark.sql import types as T
 
 from cairn.functions.spelling import chunk_hash, snapshot_key
 from cairn.operators.snapshots import snapshot_index
-from cairn.planning import broadcast_if_small
+from cairn.planning import broadcast_if_small, hot_keys, row_hash, row_order
 
-#: The space of key hashes is cut into this many ranges of equal width.
-RANGES = 256
-#: References of one range from which it is probed in several places.
+#: References and parents of one range, and references of one piece of a hot key.
 SPLIT_ROWS = 1_000_000
 NO_START, NO_STOP = -(2**63), 2**63 - 1
-_STEP = 1 << 20
+_STEP = 1 << 24
 
 
 def key_columns(*parts: Column) -> list[Column]:
@@ -26,7 +26,7 @@ def key_columns(*parts: Column) -> list[Column]:
     return [F.xxhash64(*parts).alias("_k1"), F.xxhash64(F.lit(17), *reversed(parts)).alias("_k2")]
 
 
-def probe_missing(refs: DataFrame, parents: DataFrame, ranges: int = RANGES, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def probe_missing(refs: DataFrame, parents: DataFrame, ranges: int | None = None, split_rows: int = SPLIT_ROWS, asked: DataFrame | None = None, rows: int = 0) -> DataFrame:
     """The references whose parent is not there at their time, with a reason.
 
     ``refs`` has _k1, _k2 (key_columns), _t and any further columns, which come
@@ -35,29 +35,26 @@ def probe_missing(refs: DataFrame, parents: DataFrame, ranges: int = RANGES, spl
     have many lifetimes. reason is 'deleted' if one ended at or before _t, else
     'late' if one starts after, else 'missing'.
 
-    Both sides are cut into ranges of the first key hash. A range's parents are
-    kept as sorted arrays in the task that reads the range, and its references
-    come by as Arrow batches that are looked up by binary search. A range that
-    has more than ``split_rows`` references, as one with a hot key has, is cut
-    into as many pieces as needed, each with a copy of the range's parents; so a
-    task's memory holds a range's parents and one batch.
+    Both sides are cut into ranges of the first key hash, as many as keep
+    ``split_rows`` of ``rows`` in one (or ``ranges`` of them). A range's parents
+    are kept as sorted arrays in the task that reads the range, and its
+    references come by as Arrow batches that are looked up by binary search. A
+    key of more than ``split_rows`` references is probed in several places, each
+    with a copy of that key's lifetimes and of no other's. Hot keys are found in
+    ``asked`` (_k1), by default ``refs``.
     """
-    bits = max(1, (ranges - 1).bit_length())
-    in_range = F.shiftrightunsigned("_k1", 64 - bits)
-    sizes = {int(r["r"]): int(r["n"]) for r in refs.groupBy(in_range.alias("r")).agg(F.count("*").alias("n")).filter(F.col("n") > split_rows).collect()}
-    pieces = [max(1, -(-sizes.get(r, 0) // split_rows)) for r in range(1 << bits)] if sizes else None
-    count = F.get(F.array(*[F.lit(p) for p in pieces]), in_range.cast("int")) if pieces else F.lit(1)
-    route = lambda piece, is_ref: ((in_range * _STEP + piece) * 2 + is_ref).alias("_route")
+    ranges = ranges or max(1, -(-rows // split_rows))
+    hot = F.broadcast(hot_keys(refs if asked is None else asked, "_k1", split_rows))
+    in_range = F.least(F.floor((F.col("_k1") / F.lit(2.0**64) + 0.5) * ranges).cast("bigint"), F.lit(ranges - 1)) * _STEP
+    route = lambda piece, is_ref: ((in_range + piece) * 2 + is_ref).alias("_route")
     payload = [f for f in refs.schema if f.name not in ("_k1", "_k2", "_t")]
     no = [F.lit(None).cast(f.dataType).alias(f.name) for f in payload]
     own = [f.name for f in payload]
-    left = refs.select(route(F.pmod(F.xxhash64("_k2", "_t", *own), count) if pieces else F.lit(0), 1), "_k1", "_k2", "_t", F.lit(0).cast("bigint").alias("_stop"), *own)
-    right = parents
-    if pieces:
-        right = parents.withColumn("_piece", F.explode(F.sequence(F.lit(0), count - 1)))
-    right = right.select(
-        route(F.col("_piece") if pieces else F.lit(0), 0), "_k1", "_k2",
-        F.coalesce("_start", F.lit(NO_START)).alias("_t"), F.coalesce("_stop", F.lit(NO_STOP)).alias("_stop"), *no,
+    piece = F.coalesce(F.pmod(F.xxhash64("_k2", "_t", *own), F.col("_pieces")) + 1, F.lit(0))
+    left = refs.join(hot, "_k1", "left").select(route(piece, 1), "_k1", "_k2", "_t", F.lit(0).cast("bigint").alias("_stop"), *own)
+    copies = F.explode(F.when(F.col("_pieces").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.coalesce("_pieces", F.lit(1))))).alias("_piece")
+    right = parents.join(hot, "_k1", "left").select("*", copies).select(
+        route(F.col("_piece"), 0), "_k1", "_k2", F.coalesce("_start", F.lit(NO_START)).alias("_t"), F.coalesce("_stop", F.lit(NO_STOP)).alias("_stop"), *no,
     )
     routed = left.unionByName(right).repartition(F.shiftright("_route", 1)).sortWithinPartitions("_route")
     out = T.StructType([*payload, T.StructField("reason", T.StringType())])
@@ -142,13 +139,14 @@ class _Lifetimes:
 
 
 def orphan_references(
-    snapshots: DataFrame, roots: DataFrame, inodes: DataFrame, dirents: DataFrame, chunk_refs: DataFrame, chunks: DataFrame, base_chunks: DataFrame
+    snapshots: DataFrame, roots: DataFrame, inodes: DataFrame, dirents: DataFrame, chunk_refs: DataFrame, chunks: DataFrame, base_chunks: DataFrame, split_rows: int = SPLIT_ROWS
 ) -> DataFrame:
     """(src, bucket, epoch, owner_id, item, reason), one row per orphan reference.
 
     Chunk references are looked up among the lifetimes of their hash, base
     contents always being there; directory entries among the epochs of their
-    bucket's inode; root pointers among the lifetimes of their snapshot's key.
+    bucket's inode; root pointers within the lifetime of their snapshot's key, of
+    whose rows the latest stands.
     Holes and null keys are no references. References of snapshots that the
     snapshots table does not know have no time and are left out. References and
     parents delivered several times count once. Empty parent tables make every
@@ -159,8 +157,9 @@ def orphan_references(
     row = lambda src, owner, item: [F.lit(src).alias("src"), "bucket", "epoch", owner.cast("bigint").alias("owner_id"), item.alias("item")]
 
     own = F.col("_h")
-    stored = base_chunks.select(chunk_hash(F.col("hash")).alias("_h")).distinct()
+    stored = broadcast_if_small(base_chunks.select(chunk_hash(F.col("hash")).alias("_h")).distinct(), base_chunks, ("hash",))
     hashes = chunk_refs.select("bucket", "epoch", "inode_id", "idx", chunk_hash(F.col("hash")).alias("_h")).filter("_h IS NOT NULL").join(stored, "_h", "left_anti")
+    asked = [hashes.select(*key_columns(F.lit("chunk"), own)[:1])]
     hashes = hashes.join(index, ["bucket", "epoch"]).filter("_t IS NOT NULL")
     refs = [hashes.select(*key_columns(F.lit("chunk"), own), "_t", *row("chunk_refs", F.col("inode_id"), F.col("idx").cast("string")))]
     parents = [
@@ -170,17 +169,19 @@ def orphan_references(
 
     entries = dirents.filter("bucket IS NOT NULL AND epoch IS NOT NULL AND child_id IS NOT NULL")
     refs.append(entries.select(*key_columns(F.lit("inode"), F.col("bucket"), F.col("child_id")), F.col("epoch").alias("_t"), *row("dirents", F.col("dir_id"), F.col("name"))))
-    there = inodes.select("bucket", "epoch", "id").filter("bucket IS NOT NULL AND epoch IS NOT NULL AND id IS NOT NULL").join(index.select("bucket", "epoch"), ["bucket", "epoch"], "left_semi")
+    there = inodes.select("bucket", "epoch", "id").filter("bucket IS NOT NULL AND epoch IS NOT NULL AND id IS NOT NULL")
     parents.append(there.select(*key_columns(F.lit("inode"), F.col("bucket"), F.col("id")), F.col("epoch").alias("_start"), (F.col("epoch") + 1).alias("_stop")))
 
     key = snapshot_key(F.col("snapshot"))
     refs.append(roots.filter("bucket IS NOT NULL AND snapshot IS NOT NULL AND written_ns IS NOT NULL").select(*key_columns(F.lit("key"), F.col("bucket"), key), F.col("written_ns").alias("_t"), *row("roots", F.lit(0), key)))
-    parents.append(snapshots.select(*key_columns(F.lit("key"), F.col("bucket"), F.col("key")), F.col("created_ns").alias("_start"), F.col("pruned_ns").alias("_stop")))
-
-    all_refs, all_parents = refs[0], parents[0]
-    for r, p in zip(refs[1:], parents[1:]):
-        all_refs, all_parents = all_refs.unionByName(r), all_parents.unionByName(p)
-    return probe_missing(all_refs, all_parents).distinct()
+    at = row_order(F.col("loaded_at"), row_hash(F.col("created_ns"), F.col("pruned_ns")))
+    lives = snapshots.groupBy("bucket", "key").agg(F.max_by("created_ns", at).alias("_start"), F.max_by("pruned_ns", at).alias("_stop"))
+    parents.append(lives.select(*key_columns(F.lit("key"), F.col("bucket"), F.col("key")), "_start", "_stop"))
+
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    asked += [r.select("_k1") for r in refs[1:]]
+    rows = sum(t.count() for t in (roots, inodes, dirents, chunk_refs, chunks, snapshots))
+    return probe_missing(union(refs), union(parents), split_rows=split_rows, asked=union(asked), rows=rows).distinct()
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
