@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.spelling import chunk_hash, is_hash
+from cairn.functions.spelling import hash_bytes
 from cairn.planning import hot_keys, row_hash
 
 #: Suffixes of one first term from which they are routed in several pieces, by record.
@@ -186,8 +186,7 @@ def hash_sequences(chunk_refs: DataFrame, longest: int = 1, common: int = COMMON
     A record is one (bucket, epoch, inode_id); holes and damaged hashes are no
     terms and part the sequences around them. Null keys are values like any other.
     """
-    plain = chunk_hash(F.col("hash"))
-    terms = chunk_refs.select("bucket", "epoch", "inode_id", "idx", plain.alias("hash")).withColumn("hash", F.when(is_hash(F.col("hash")), F.unhex("hash")))
+    terms = chunk_refs.select("bucket", "epoch", "inode_id", "idx", hash_bytes(F.col("hash")).alias("hash"))
     counted = count_sequences(terms, ["bucket", "epoch", "inode_id"], "idx", "hash", longest)
     return counted.select(F.transform("terms", lambda t: F.lower(F.hex(t))).alias("terms"), "n", "n_records", mark(F.col("n_records"), common).alias("mark"))
 
