@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,21 +42,47 @@ def row_order(loaded_at: Column, tie: Column) -> Column:
     return (at * F.lit(str(2**64)).cast("decimal(20,0)") + tie.cast("decimal(20,0)")).cast("decimal(38,0)")
 
 
-#: Keys that can be found hot at once; with more rows than this times ``most`` only keys of a larger share are.
-HOT_KEYS = 4096
+#: Most keys that can be found hot at once, and entries of the sketch for each.
+HOT_KEYS, SKETCH = 50_000, 16
+#: Sketches that meet in one task at the end.
+SKETCHES = 64
 
 
 def hot_keys(df: DataFrame, key: str, most: int) -> DataFrame:
     """(key, _pieces) of the keys of ``df`` that have more than ``most`` rows: into how many pieces of that size to cut each.
 
-    One scan of the key, kept in a frequency sketch of 16 entries for each key
-    that can come out: none of more than ``most`` rows, or of one row in
-    HOT_KEYS, is missed, and a key is cut once too often at worst. At most
-    HOT_KEYS rows come out, so they can be broadcast.
+    One scan of the key, kept in frequency sketches that are merged in two steps.
+    Four keys for each shuffle partition can come out: none of more than ``most``
+    rows, nor of more than a quarter of a partition's share, is missed, and a key
+    is cut once too often at worst. So few rows can be broadcast.
     """
-    sketch = F.expr(f"approx_top_k({key}, {HOT_KEYS}, {16 * HOT_KEYS})")
-    got = df.filter(F.col(key).isNotNull()).agg(F.count("*").alias("n"), sketch.alias("top")).first()
-    least = max(most, (got.n or 0) // HOT_KEYS)
-    hot = [(int(x["item"]), -(-int(x["count"]) // most)) for x in got.top or () if x["count"] > least]
+    keys = min(HOT_KEYS, max(256, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    size = keys * SKETCH
+    some = df.sparkSession.range(1).select(F.lit(None).cast("bigint").alias(key))  # a sketch of nothing can't be merged
+    parts = df.select(key).union(some).groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCHES))).agg(F.count("*").alias("n"), F.expr(f"approx_top_k_accumulate({key}, {size})").alias("s"))
+    got = parts.agg(F.sum("n").alias("n"), F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {size}), {keys})").alias("top")).first()
+    least = max(most, got.n // keys)
+    hot = [(int(x["item"]), -(-int(x["count"]) // most)) for x in got.top if x["item"] is not None and x["count"] > least]
     rows = F.from_json(F.lit(json.dumps([{key: k, "_pieces": n} for k, n in hot])), f"array<struct<{key}: bigint, _pieces: int>>")
     return df.sparkSession.range(1).select(F.inline(rows))
+
+
+#: Rows of one key that a task gathers as they are.
+GATHERED_ROWS = 1_000_000
+
+
+def hot_groups(df: DataFrame, *keys: str, most: int = GATHERED_ROWS) -> DataFrame:
+    """hot_keys of groups: (_k, _pieces), _k being the hash of the key columns."""
+    return hot_keys(df.select(F.xxhash64(*keys).alias("_k")), "_k", most)
+
+
+def gather(rows: DataFrame, keys: list[str], hot: DataFrame, combine: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows partitioned by ``keys``, so that all that is grouped or windowed within them needs no other shuffle.
+
+    Rows of the groups in ``hot`` (hot_groups) pass ``combine`` first, which brings
+    them down to few, grouping by more than the keys; they keep their columns.
+    """
+    known = rows.withColumn("_k", F.xxhash64(*keys))
+    cold = known.join(F.broadcast(hot), "_k", "left_anti").drop("_k")
+    warm = combine(known.join(F.broadcast(hot), "_k", "left_semi").drop("_k"))
+    return cold.unionByName(warm.select(cold.columns)).repartition(*keys)
