@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.scratch import Scratch
+
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern by which the public byte-level vocabulary cuts text before merging.
@@ -236,10 +238,10 @@ def pack(counted: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     where sets that dominate all others are fixed and the remainder is put by
     best fit. The items of a size are then numbered, by several tasks if there are
     many, and looked up in the plan. Containers count from 0, positions from 0 by
-    falling size. A document without tokens comes out with null container and
+    falling size. ``counted`` is made and written once. A document without tokens comes out with null container and
     position; documents that come twice are packed twice; null ids are packed.
     """
-    rows = counted.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("_n"))
+    rows = Scratch(counted.sparkSession, "sizes").write(counted.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("_n")))
     piece = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("_n") / capacity) - 1, F.lit(0)).cast("int"))).alias("piece")
     items = rows.select("doc_id", "_n", piece).select(
         "doc_id", "piece", (F.col("piece").cast("bigint") * capacity).alias("start_token"),
