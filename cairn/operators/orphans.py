@@ -17,6 +17,8 @@ from cairn.planning import broadcast_if_small, hot_keys, row_hash, row_order
 
 #: References and parents of one range, and references of one piece of a hot key.
 SPLIT_ROWS = 1_000_000
+#: Ranges for each shuffle partition, at least.
+RANGES_A_TASK = 16
 NO_START, NO_STOP = -(2**63), 2**63 - 1
 _STEP = 1 << 24
 
@@ -36,14 +38,14 @@ def probe_missing(refs: DataFrame, parents: DataFrame, ranges: int | None = None
     'late' if one starts after, else 'missing'.
 
     Both sides are cut into ranges of the first key hash, as many as keep
-    ``split_rows`` of ``rows`` in one (or ``ranges`` of them). A range's parents
+    ``split_rows`` of ``rows`` in one and every task busy (or ``ranges`` of them). A range's parents
     are kept as sorted arrays in the task that reads the range, and its
     references come by as Arrow batches that are looked up by binary search. A
     key of more than ``split_rows`` references is probed in several places, each
     with a copy of that key's lifetimes and of no other's. Hot keys are found in
     ``asked`` (_k1), by default ``refs``.
     """
-    ranges = ranges or max(1, -(-rows // split_rows))
+    ranges = ranges or max(RANGES_A_TASK * int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // split_rows))
     hot = F.broadcast(hot_keys(refs if asked is None else asked, "_k1", split_rows))
     in_range = F.least(F.floor((F.col("_k1") / F.lit(2.0**64) + 0.5) * ranges).cast("bigint"), F.lit(ranges - 1)) * _STEP
     route = lambda piece, is_ref: ((in_range + piece) * 2 + is_ref).alias("_route")
