@@ -19,6 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share: tables between steps are written there")
         folder = "file://" + tempfile.mkdtemp(prefix="cairn-scratch-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -28,9 +30,16 @@ class Scratch:
     """A folder of written tables that belongs to one run of one operator.
 
     The operator's result reads the last of them, so they are removed when the
-    driver ends, or by ``drop`` once the result is stored.
+    driver ends; a driver that lives long gives its operators a Scratch of its
+    own and leaves it, or calls ``drop``, once the result is stored.
     """
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
