@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.scratch import Scratch
+
 #: One row per object met on the way down: its table, its owner and itself.
 EMITTED = "bucket string, epoch bigint, rel string, owner_id bigint, item string, payload string"
 ARROW = pa.schema([("bucket", pa.string()), ("epoch", pa.int64()), ("rel", pa.string()), ("owner_id", pa.int64()), ("item", pa.string()), ("payload", pa.string())])
@@ -108,7 +110,25 @@ def write_flat(docs: DataFrame, folder: str) -> None:
 
 def read_flat(spark: SparkSession, folder: str, rel: str) -> DataFrame:
     """One table of what write_flat wrote, its schema applied; repeated rows count once."""
-    return typed(spark.read.schema(EMITTED).parquet(folder), rel)
+    return typed(_written(spark, folder), rel)
+
+
+def _written(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(EMITTED).parquet(folder)
+
+
+def flat_tables(docs: DataFrame, scratch: Scratch | None = None) -> dict[str, DataFrame]:
+    """The flat tables by tag, and under 'keys' the distinct (bucket, epoch, rel, owner_id, item) of all.
+
+    Each body is read and parsed once, however many of the tables are used: what
+    the visitor emits is written partitioned by tag, and a table reads its own
+    partition, its schema applied.
+    """
+    spark = docs.sparkSession
+    folder = (scratch or Scratch(spark, "flat")).path + "/tagged"
+    write_flat(docs, folder)
+    keys = _written(spark, folder).select("bucket", "epoch", "rel", "owner_id", "item").distinct()
+    return {rel: read_flat(spark, folder, rel) for rel in FLAT} | {"keys": keys}
 
 
 def typed(tagged: DataFrame, rel: str) -> DataFrame:

@@ -17,21 +17,24 @@ def p1_found(spark, d):
     return changes.snapshot_changes(*_tables(spark, d, "snapshots", "inodes", "chunk_refs"))
 
 
+def _flat(spark, d, which):
+    return nested.flat_tables(table(spark, d, "snapshot_docs"))[which]
+
+
 def p2_found(spark, d):
-    flat = nested.flatten(table(spark, d, "snapshot_docs"), payload=False)
-    return flat.select("bucket", "epoch", "rel", "owner_id", "item").distinct()
+    return _flat(spark, d, "keys")
 
 
 def p2_inodes(spark, d):
-    return nested.typed(nested.flatten(table(spark, d, "snapshot_docs")), "inode")
+    return _flat(spark, d, "inode")
 
 
 def p2_entries(spark, d):
-    return nested.typed(nested.flatten(table(spark, d, "snapshot_docs")), "entry")
+    return _flat(spark, d, "entry")
 
 
 def p2_chunks(spark, d):
-    return nested.typed(nested.flatten(table(spark, d, "snapshot_docs")), "chunk")
+    return _flat(spark, d, "chunk")
 
 
 def _orphans(spark, d):

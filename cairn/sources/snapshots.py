@@ -32,9 +32,9 @@ def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def relations(docs: DataFrame) -> dict[str, DataFrame]:
-    """inodes, dirents and chunk_refs of snapshot documents (bucket, epoch, body); a missing hash is a hole."""
-    flat = nested.flatten(docs)
-    i, e, c = (nested.typed(flat, r) for r in ("inode", "entry", "chunk"))
+    """inodes, dirents and chunk_refs of snapshot documents (bucket, epoch, body), each parsed once; a missing hash is a hole."""
+    flat = nested.flat_tables(docs)
+    i, e, c = (flat[r] for r in ("inode", "entry", "chunk"))
     inodes = i.selectExpr("bucket", "epoch", "id", "gen", "t AS type", "CAST(m AS INT) AS mode", "u AS uid", "g AS gid", "n AS nlink", "sz AS size", "at AS atime_ns", "mt AS mtime_ns", "ct AS ctime_ns", "p AS parent", "lt AS target")
     return {"inodes": inodes, "dirents": e, "chunk_refs": c.selectExpr("bucket", "epoch", "inode_id", "idx", "nullif(h, '') AS hash", "s AS size")}
 
