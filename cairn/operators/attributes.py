@@ -63,9 +63,14 @@ def mount_gate(mode: Column) -> Column:
     return F.when(mode == "Writable", S.OK).when(mode == "ReadOnly", S.ROFS).when(mode == "Diverged", S.STALE).otherwise(S.SERVERFAULT)
 
 
+def whole_division(a: Column, b: Column) -> Column:
+    """a div b, without the double that a quotient of longs would become."""
+    return F.call_function("div", a.cast("bigint"), b.cast("bigint"))
+
+
 def chunk_place(offset: Column, chunk_size: Column) -> tuple[Column, Column]:
     """(index, offset within) of a byte."""
-    return F.floor(offset / chunk_size).cast("bigint"), offset % chunk_size
+    return whole_division(offset, chunk_size), offset % chunk_size
 
 
 def read_end(offset: Column, count: Column, size: Column) -> Column:

@@ -11,17 +11,18 @@ BYTES = 256 << 20
 
 
 def replay(log: DataFrame, keys: list[str], order: list[str], limit: int = BYTES) -> DataFrame:
-    """(keys…, order…, hit) of each access (keys…, order…, key, size) to a least-recently-used cache per keys.
+    """(keys…, order…, hit, used) of each access (keys…, order…, key, size) to a least-recently-used cache per keys.
 
     A hit refreshes; what is larger than the limit is not kept. Rows pass sorted,
-    so a task holds one cache's names, never a log. Null keys never hit.
+    so a task holds one cache's names, never a log. Null keys never hit. ``used``
+    are the bytes held after the access.
     """
     kinds = ", ".join(f"{c} {log.schema[c].dataType.simpleString()}" for c in [*keys, *order])
 
     def run(batches):
         at, held, used = None, OrderedDict(), 0
         for pdf in batches:
-            hits = []
+            hits, bytes_ = [], []
             for row in zip(*[pdf[k] for k in keys], pdf["key"], pdf["size"]):
                 *own, key, size = row
                 if own != at:
@@ -35,7 +36,8 @@ def replay(log: DataFrame, keys: list[str], order: list[str], limit: int = BYTES
                     used += size
                     while used > limit:
                         used -= held.popitem(last=False)[1]
-            yield pd.DataFrame({**{c: pdf[c] for c in [*keys, *order]}, "hit": hits})
+                bytes_.append(used)
+            yield pd.DataFrame({**{c: pdf[c] for c in [*keys, *order]}, "hit": hits, "used": bytes_})
 
     ordered = log.select(*keys, *order, "key", "size").repartition(*keys).sortWithinPartitions(*keys, *order)
-    return ordered.mapInPandas(run, f"{kinds}, hit boolean")
+    return ordered.mapInPandas(run, f"{kinds}, hit boolean, used bigint")

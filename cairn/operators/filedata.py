@@ -8,14 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import status as S
-from cairn.operators.attributes import MAX_CHUNKS, read_end, span
+from cairn.operators.attributes import MAX_CHUNKS, read_end, span, whole_division
 
 CHUNK_SIZE, LEAST_CHUNK_SIZE = 1 << 20, 4096
+#: Chunks of one file that one task puts in order.
+STRETCH = 65_536
+
+
+def _div(c: Column | str, by: int) -> Column:
+    """Whole division of numbers from 0 on; a double would lose bytes beyond 2^53."""
+    return whole_division(F.col(c) if isinstance(c, str) else c, F.lit(by))
 
 
 def chunk_files(files: DataFrame, keys: list[str], data: str, chunk_size: int) -> DataFrame:
     """(keys…, idx, hash, size, data): chunk i holds the bytes from i·chunk_size on; null and empty files have none."""
-    n = F.ceil(F.octet_length(data) / chunk_size).cast("int")
+    n = _div(F.octet_length(data).cast("bigint") + (chunk_size - 1), chunk_size).cast("int")
     idx = F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))).alias("idx")
     cut = files.select(*keys, data, idx).select(*keys, "idx", F.substring(F.col(data), F.col("idx") * chunk_size + 1, F.lit(chunk_size)).alias("data"))
     return cut.select(*keys, "idx", F.sha2("data", 256).alias("hash"), F.octet_length("data").cast("bigint").alias("size"), "data")
@@ -54,7 +61,7 @@ def covered(requests: DataFrame, chunk_size: int) -> DataFrame:
     The range join of requests with chunks becomes an equi-join on idx.
     """
     ranged = requests.withColumn("end", read_end(F.col("off"), F.col("count"), F.col("size"))).filter(F.col("end") > F.col("off"))
-    idx = F.explode(F.sequence(F.floor(F.col("off") / chunk_size).cast("int"), F.floor((F.col("end") - 1) / chunk_size).cast("int"))).alias("idx")
+    idx = F.explode(F.sequence(_div("off", chunk_size).cast("int"), _div(F.col("end") - 1, chunk_size).cast("int"))).alias("idx")
     cut = ranged.select("*", idx)
     within, take = span(F.col("off"), F.col("end"), F.col("idx").cast("bigint"), F.lit(chunk_size))
     return cut.withColumns({"within": within, "take": take})
@@ -102,7 +109,7 @@ def apply_writes(writes: DataFrame, refs: DataFrame, chunks: DataFrame, keys: li
     with zeros. A chunk wholly rewritten is read in vain only if stored.
     """
     length = F.octet_length("data")
-    cut = writes.filter(length > 0).select("*", F.explode(F.sequence(F.floor(F.col("off") / chunk_size).cast("int"), F.floor((F.col("off") + length - 1) / chunk_size).cast("int"))).alias("idx"))
+    cut = writes.filter(length > 0).select("*", F.explode(F.sequence(_div("off", chunk_size).cast("int"), _div(F.col("off") + length - 1, chunk_size).cast("int"))).alias("idx"))
     at = F.greatest(F.col("off") - F.col("idx") * chunk_size, F.lit(0))
     skip = F.greatest(F.col("idx") * chunk_size - F.col("off"), F.lit(0))
     patch = F.struct("seq", at.cast("int").alias("at"), F.substring(F.col("data"), skip.cast("int") + 1, (F.lit(chunk_size) - at).cast("int")).alias("bytes"))
@@ -135,7 +142,7 @@ def truncate(refs: DataFrame, cuts: DataFrame, keys: list[str], chunk_size: int)
     files not in it stay.
     """
     joined = refs.join(cuts, keys, "left")
-    last = F.ceil(F.col("new_size") / chunk_size)
+    last = _div(F.col("new_size") + (chunk_size - 1), chunk_size)
     kept = joined.filter(F.col("new_size").isNull() | (F.col("idx") < last))
     trims = kept.filter((F.col("idx") == last - 1) & (F.col("new_size") < F.col("old_size")) & (F.col("new_size") % chunk_size != 0) & F.col("hash").isNotNull()).select(*keys, "idx", (F.col("new_size") % chunk_size).alias("to_len"))
     here = refs.groupBy(*keys).agg((F.max("idx") + 1).alias("_n"))
@@ -150,25 +157,95 @@ def least_trims(*trims: DataFrame, keys: list[str]) -> DataFrame:
     return every.groupBy(*keys, "idx").agg(F.min("to_len").alias("to_len"))
 
 
+def spans(refs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys…, idx, start, size): where each chunk of any length begins, by prefix sum.
+
+    A file is cut into blocks of STRETCH chunks, so one of a third of all chunks
+    is summed by many tasks; only the blocks' sums meet in one.
+    """
+    return _blocks(refs.select(*keys, "idx", "size"), keys).select(*keys, "idx", "start", "size")
+
+
+def _blocks(refs: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with _b, the block, and start."""
+    cut = refs.withColumn("_b", _div("idx", STRETCH))
+    over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*keys, "_b").agg(F.sum("size").alias("_s")).select(*keys, "_b", F.coalesce(F.sum("_s").over(over), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_b").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    own = cut.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    same = reduce(lambda x, y: x & y, [F.col(f"own.{k}").eqNullSafe(F.col(f"sums.{k}")) for k in [*keys, "_b"]])
+    return own.alias("own").join(sums.alias("sums"), same).select("own.*", (F.col("_in") + F.col("_before")).alias("start")).drop("_in")
+
+
 def extents(refs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys…, off, len, hole): ordered, gap-free stretches of data and holes, neighbours of a kind merged."""
-    by = Window.partitionBy(*keys).orderBy("idx")
-    hole = F.col("hash").isNull()
-    at = F.coalesce(F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = refs.select(*keys, "idx", "size", hole.alias("hole"), at.alias("_off"))
+    """(keys…, off, len, hole): ordered, gap-free stretches of data and holes, neighbours of a kind merged.
+
+    Stretches are found within blocks of a file (spans) and put together across
+    them by their bounds, of which there are few.
+    """
+    rows = _blocks(refs.select(*keys, "idx", "size", F.col("hash").isNull().alias("hole")), keys)
+    runs = _runs(rows, [*keys, "_b"], "idx").groupBy(*keys, "_b", "_run").agg(F.min("start").alias("off"), F.sum("size").alias("len"), F.first("hole").alias("hole"))
+    whole = _runs(runs.withColumn("_at", F.struct("_b", "_run")).drop("_run"), keys, "_at")
+    return whole.groupBy(*keys, "_run").agg(F.min("off").alias("off"), F.sum("len").alias("len"), F.first("hole").alias("hole")).drop("_run")
+
+
+def _runs(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows with _run, which counts the changes of ``hole``."""
+    by = Window.partitionBy(*keys).orderBy(order)
     new = F.coalesce((F.lag("hole").over(by) != F.col("hole")), F.lit(True)).cast("int")
-    runs = near.withColumn("_new", new).withColumn("_run", F.sum("_new").over(by))
-    return runs.groupBy(*keys, "_run").agg(F.min("_off").alias("off"), F.sum("size").alias("len"), F.first("hole").alias("hole")).drop("_run")
+    return rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(by)).drop("_new")
 
 
 def punch(refs: DataFrame, holes: DataFrame, keys: list[str], chunk_size: int) -> DataFrame:
-    """References with those wholly inside (keys…, off, len) made holes; sizes stay. Cut edges are left to apply_writes with zeros."""
+    """References with those wholly inside (keys…, off, len) made holes; sizes stay. punch_edges has the chunks that are cut."""
     inside = refs.join(holes, keys, "left")
     gone = (F.col("idx").cast("bigint") * chunk_size >= F.col("off")) & ((F.col("idx").cast("bigint") + 1) * chunk_size <= F.col("off") + F.col("len"))
     marked = inside.groupBy(*keys, "idx").agg(F.first("hash").alias("hash"), F.first("size").alias("size"), F.max(F.coalesce(gone, F.lit(False))).alias("_g"))
     return marked.select(*keys, "idx", F.when(~F.col("_g"), F.col("hash")).alias("hash"), "size")
 
 
+def punch_edges(refs: DataFrame, chunks: DataFrame, holes: DataFrame, keys: list[str], chunk_size: int) -> DataFrame:
+    """(keys…, idx, data): the buffered chunks of which a hole (keys…, off, len) takes a part, zeros in its place; their length stays.
+
+    Of one hole these are two at most. A chunk cut by several holes loses all of
+    their parts. Chunks that are holes already are not written.
+    """
+    first, last = _div("off", chunk_size), _div(F.col("off") + F.col("len") - 1, chunk_size)
+    edges = holes.filter("len > 0").select(*keys, "off", "len", F.explode(F.array_distinct(F.array(first, last))).alias("idx"))
+    at = F.col("idx") * chunk_size
+    lo, hi = F.greatest(F.col("off") - at, F.lit(0)), F.least(F.col("off") + F.col("len") - at, F.lit(chunk_size))
+    cuts = edges.select(*keys, F.col("idx").cast("int").alias("idx"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi")).filter(~((F.col("lo") == 0) & (F.col("hi") == chunk_size)))
+    parts = cuts.groupBy(*keys, "idx").agg(F.collect_set(F.struct("lo", "hi")).alias("_cuts"))
+    stored = parts.join(refs.filter("hash IS NOT NULL").select(*keys, "idx", "hash"), [*keys, "idx"]).join(chunks.select("hash", F.col("data").alias("_d")), "hash")
+    zeroed = lambda acc, c: F.concat(
+        F.substring(acc, F.lit(1), c["lo"]), zeros(F.greatest(F.least(c["hi"], F.octet_length(acc)) - c["lo"], F.lit(0))), F.substring(acc, c["hi"] + 1, F.lit(chunk_size)))
+    return stored.select(*keys, "idx", F.aggregate("_cuts", F.col("_d"), zeroed).alias("data"))
+
+
+def settle(refs: DataFrame, chunks: DataFrame, keys: list[str], dirty: DataFrame | None = None, trims: DataFrame | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(references, chunks to upload) with every buffer and pending trim of all files applied: what a seal needs.
+
+    A trimmed chunk is cut to its new length and stored under its new name; where
+    a chunk is buffered as well, the buffer, which has the cut already, stands.
+    No file is left unsettled.
+    """
+    cut = refs.select(*keys, "idx").limit(0).withColumn("data", F.unhex(F.lit("")))
+    if trims is not None:
+        least = trims.groupBy(*keys, "idx").agg(F.min("to_len").alias("to_len"))
+        stored = least.join(refs.filter("hash IS NOT NULL").select(*keys, "idx", "hash"), [*keys, "idx"]).join(chunks.select("hash", "data"), "hash")
+        cut = stored.select(*keys, "idx", F.substring(F.col("data"), F.lit(1), F.col("to_len").cast("int")).alias("data"))
+    if dirty is not None:
+        cut = cut.join(dirty.select(*keys, "idx"), [*keys, "idx"], "left_anti").unionByName(dirty.select(*keys, "idx", "data"))
+    return flush(cut, refs, keys, known)
+
+
+def drop_buffers(dirty: DataFrame, gone: DataFrame, keys: list[str], mount: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(buffers left, (mount…, released)) after inodes (keys…) are gone: nothing will flush theirs, so their charge is given back once."""
+    lost = gone.select(*keys).distinct()
+    released = dirty.join(lost, keys, "left_semi").groupBy(*mount).agg(F.sum("capacity").alias("released"))
+    return dirty.join(lost, keys, "left_anti"), released
+
+
 def clone_range(refs: DataFrame, clones: DataFrame) -> DataFrame:
     """(bucket, id, idx, hash, size) written by clones (bucket, src_id, src_idx, n, dst_id, dst_idx): references, no data.
 
@@ -181,12 +258,6 @@ def clone_range(refs: DataFrame, clones: DataFrame) -> DataFrame:
         "bucket", F.col("dst_id").alias("id"), (F.col("idx") - F.col("src_idx") + F.col("dst_idx")).alias("idx"), "hash", "size")
 
 
-def spans(refs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys…, idx, start, size): where each chunk of any length begins, by prefix sum."""
-    by = Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    return refs.select(*keys, "idx", F.coalesce(F.sum("size").over(by), F.lit(0)).alias("start"), "size")
-
-
 def locate(requests: DataFrame, spanned: DataFrame, keys: list[str]) -> DataFrame:
     """Requests (keys…, at) with the idx whose span holds the byte and the offset within."""
     return requests.join(spanned, keys).filter((F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("size"))).select(*requests.columns, "idx", (F.col("at") - F.col("start")).alias("within"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.functions import status as S
+from cairn.operators import filedata as D
 from cairn.operators import policy as P
 from cairn.operators.attributes import MAX_CHUNKS, guard_status, mount_gate, name_status
 from cairn.operators.hierarchy import hierarchy
@@ -19,25 +20,32 @@ REQUESTS = (
     "bucket string, seq bigint, op string, uid bigint, gid bigint, gids array<bigint>, dir_id bigint, name string, to_dir bigint, to_name string, id bigint, "
     "exclusive boolean, target string, new_size bigint, new_mode int, new_uid bigint, new_gid bigint, new_atime_ns bigint, new_mtime_ns bigint, guard_ns bigint"
 )
-BARRIERS = ("rmdir", "rename", "setattr")
+BARRIERS = ("rmdir", "rename")
 FIELDS = ("bucket", "id", "gen", "type", "mode", "uid", "gid", "nlink", "size", "atime_ns", "mtime_ns", "ctime_ns", "parent", "target")
 
 
 @dataclass
 class Namespace:
-    """inodes (FIELDS), dirents (bucket, dir_id, name, child_id) and next_ino (bucket, next_ino) of one snapshot per bucket."""
+    """inodes (FIELDS), dirents (bucket, dir_id, name, child_id) and next_ino (bucket, next_ino) of one snapshot per bucket.
+
+    With ``refs`` (bucket, id, idx, hash, size) the chunk lists follow changes of
+    size, and ``trims`` (bucket, id, idx, to_len) are the cuts into stored chunks
+    that a flush has yet to make.
+    """
 
     inodes: DataFrame
     dirents: DataFrame
     next_ino: DataFrame
+    refs: DataFrame | None = None
+    trims: DataFrame | None = None
 
 
 def waves(requests: DataFrame, next_ino: DataFrame) -> DataFrame:
     """Requests with their wave: the longest stretch of a bucket's order in which no two touch each other.
 
-    Entries of different names are added and removed side by side. A rename, a
-    change of attributes and the removal of a directory look at more than their
-    own entry and stand alone; a request that names an inode made in this batch
+    Entries of different names are added and removed side by side, and so are the
+    attributes of different inodes changed, but not both at once. A rename and
+    the removal of a directory look at more than their own entry and stand alone; a request that names an inode made in this batch
     waits for the wave before. Numbers of inodes thus follow the order of
     requests. Stretches are found in one pass over the sorted requests, which
     holds the hashes of one wave's entries.
@@ -45,17 +53,17 @@ def waves(requests: DataFrame, next_ino: DataFrame) -> DataFrame:
     made = F.col("op").isin("create", "mkdir", "symlink")
     newest = F.greatest(*[F.coalesce(c, F.lit(0)) for c in ("dir_id", "to_dir", "id")])
     marks = requests.join(next_ino, "bucket", "left").select(
-        "bucket", "seq", F.xxhash64("dir_id", "name").alias("entry"), F.col("op").isin(*BARRIERS).alias("alone"), made.alias("makes"), F.coalesce(newest >= F.col("next_ino"), F.lit(False)).alias("waits"))
+        "bucket", "seq", F.when(F.col("op") == "setattr", F.xxhash64("id")).otherwise(F.xxhash64("dir_id", "name")).alias("entry"), (F.col("op") == "setattr").alias("sets"), F.col("op").isin(*BARRIERS).alias("alone"), made.alias("makes"), F.coalesce(newest >= F.col("next_ino"), F.lit(False)).alias("waits"))
 
     def run(batches):
-        at, wave, entries, makes, closed = None, 0, set(), False, True
+        at, wave, entries, makes, closed, kind = None, 0, set(), False, True, None
         for pdf in batches:
             out = []
-            for bucket, entry, alone, new, waits in zip(pdf.bucket, pdf.entry, pdf.alone, pdf.makes, pdf.waits):
+            for bucket, entry, sets, alone, new, waits in zip(pdf.bucket, pdf.entry, pdf.sets, pdf.alone, pdf.makes, pdf.waits):
                 if bucket != at:
                     at, wave, closed = bucket, 0, True
-                if closed or alone or entry in entries or (waits and makes):
-                    wave, entries, makes = wave + 1, set(), False
+                if closed or alone or sets != kind or entry in entries or (waits and makes):
+                    wave, entries, makes, kind = wave + 1, set(), False, sets
                 entries.add(entry)
                 makes, closed = makes or new, alone
                 out.append(wave)
@@ -74,7 +82,11 @@ def apply_requests(ns: Namespace, requests: DataFrame, now_ns: int, chunk_size:
     spark = requests.sparkSession
     scratch = Scratch(spark, "mutations")
     staged = scratch.write(waves(requests, ns.next_ino))
-    ns = Namespace(scratch.write(ns.inodes.select(*FIELDS)), scratch.write(ns.dirents.select("bucket", "dir_id", "name", "child_id")), scratch.write(ns.next_ino))
+    refs = trims = None
+    if ns.refs is not None:
+        refs = scratch.write(ns.refs.select("bucket", "id", "idx", "hash", "size"))
+        trims = ns.trims if ns.trims is not None else refs.limit(0).select("bucket", "id", "idx", F.col("size").alias("to_len"))
+    ns = Namespace(scratch.write(ns.inodes.select(*FIELDS)), scratch.write(ns.dirents.select("bucket", "dir_id", "name", "child_id")), scratch.write(ns.next_ino), refs, trims)
     last = staged.agg(F.max("wave")).first()[0] or 0
     results = spark.createDataFrame([], "bucket string, seq bigint, status int, id bigint")
     for wave in range(1, last + 1):
@@ -144,21 +156,36 @@ def _apply_wave(ns: Namespace, wave: DataFrame, now: int, chunk_size: int, mode:
     touched = sub(made, "dir_id", 0).unionByName(sub(cut, "dir_id", 0)).unionByName(sub(moved, "dir_id", 0)).unionByName(sub(moved, "to_dir", 0))
     change = links.withColumn("_m", F.lit(0)).unionByName(touched.withColumn("_m", F.lit(1))).groupBy("bucket", "id").agg(F.sum("_links").alias("_links"), F.max("_m").alias("_m"))
     home = moved.select("bucket", F.col("c_id").alias("id"), F.col("to_dir").alias("_home"))
-    sets = ok.filter(F.col("op") == "setattr").select("bucket", "id", F.lit(True).alias("_set"), "new_mode", F.col("new_uid"), "new_gid", "new_atime_ns", "new_mtime_ns")
+    sets = ok.filter(F.col("op") == "setattr").select("bucket", "id", F.lit(True).alias("_set"), "new_mode", F.col("new_uid"), "new_gid", "new_atime_ns", "new_mtime_ns", "new_size")
     dead = lost.filter(is_dir).select("bucket", "id", F.lit(True).alias("_dead")).distinct()
     kept = inodes.select(*FIELDS).join(change, ["bucket", "id"], "left").join(home, ["bucket", "id"], "left").join(sets, ["bucket", "id"], "left").join(dead, ["bucket", "id"], "left")
-    applied = F.col("_set") & F.coalesce("new_mode", "new_uid", "new_gid", "new_atime_ns", "new_mtime_ns").isNotNull()
+    applied = F.col("_set") & F.coalesce("new_mode", "new_uid", "new_gid", "new_atime_ns", "new_mtime_ns", "new_size").isNotNull()
     dirty, shifted = F.col("_m") == 1, F.col("_home").isNotNull() | F.coalesce(applied, F.lit(False))
     left = (F.coalesce("nlink", F.lit(0)) + F.coalesce("_links", F.lit(0))).cast("bigint")
     kept = kept.filter(F.col("_dead").isNull() & ((F.col("type") == S.DIR) | F.col("_links").isNull() | (F.col("_links") >= 0) | (left > 0))).select(
         "bucket", "id", "gen", "type", F.coalesce(F.col("new_mode").bitwiseAND(F.lit(4095)), "mode").alias("mode"), F.coalesce("new_uid", "uid").alias("uid"), F.coalesce("new_gid", "gid").alias("gid"),
-        left.alias("nlink"), "size", F.coalesce("new_atime_ns", "atime_ns").alias("atime_ns"), F.when(dirty, stamp).otherwise(F.coalesce("new_mtime_ns", "mtime_ns")).alias("mtime_ns"),
+        left.alias("nlink"), F.coalesce("new_size", "size").alias("size"), F.coalesce("new_atime_ns", "atime_ns").alias("atime_ns"),
+        F.when(dirty, stamp).otherwise(F.coalesce("new_mtime_ns", F.when(F.col("new_size").isNotNull(), stamp), "mtime_ns")).alias("mtime_ns"),
         F.when(dirty | shifted, stamp).otherwise(F.col("ctime_ns")).alias("ctime_ns"), F.coalesce("_home", "parent").alias("parent"), "target")
     after_inodes = scratch.write(kept.unionByName(made.select(*FIELDS)))
     next_ino = scratch.write(ns.next_ino.join(made.groupBy("bucket").agg((F.max("id") + 1).alias("_n")), "bucket", "left").select("bucket", F.coalesce("_n", "next_ino").alias("next_ino")))
     result = asked.join(made.select("bucket", "seq", F.col("id").alias("_new")), ["bucket", "seq"], "left").select(
         "bucket", "seq", "status", F.when(F.col("status") == S.OK, F.coalesce("_new", "c_id", "id")).alias("id"))
-    return Namespace(after_inodes, after_names, next_ino), result
+    refs, trims = ns.refs, ns.trims
+    if refs is not None:
+        refs, trims = _resize(refs, trims, ok, after_inodes, chunk_size, scratch)
+    return Namespace(after_inodes, after_names, next_ino, refs, trims), result
+
+
+def _resize(refs: DataFrame, trims: DataFrame, ok: DataFrame, inodes: DataFrame, chunk_size: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Chunk lists and pending trims after the sizes a wave has set; those of inodes that are gone go too."""
+    key = ["bucket", "id"]
+    cuts = ok.filter((F.col("op") == "setattr") & F.col("new_size").isNotNull()).select(*key, F.col("o_size").alias("old_size"), "new_size")
+    there = inodes.select(*key)
+    after, new = D.truncate(refs, cuts, key, chunk_size)
+    beyond = F.col("new_size").isNotNull() & (F.col("idx").cast("bigint") * chunk_size >= F.col("new_size"))
+    held = trims.join(cuts, key, "left").filter(~beyond).select(*key, "idx", "to_len")
+    return scratch.write(after.join(there, key, "left_semi")), scratch.write(D.least_trims(held, new, keys=key).join(there, key, "left_semi"))
 
 
 def _with_status(asked: DataFrame, chunk_size: int, mode: str) -> DataFrame:
@@ -188,7 +215,7 @@ def _with_status(asked: DataFrame, chunk_size: int, mode: str) -> DataFrame:
             name, gone, verdict(none("t"), S.STALE), bad("_both"), verdict(none("c"), S.NOENT), verdict(is_dir("c") & F.coalesce(F.array_contains("t_above", F.col("c_id")), F.lit(False)), S.INVAL),
             verdict(~none("v") & (F.col("v_id") != F.col("c_id")), F.when(is_dir("v") & ~is_dir("c"), S.ISDIR).when(~is_dir("v") & is_dir("c"), S.NOTDIR).when(is_dir("v") & (F.col("v_n") > 0), S.NOTEMPTY))),
         "_set": F.coalesce(
-            verdict(none("o"), S.STALE), bad("_guard"), bad("_write", F.col("new_size")), bad("_chmod", F.col("new_mode")), bad("_chown", F.col("new_uid")), bad("_chgrp", F.col("new_gid")),
+            verdict(F.col("new_size") > MAX_CHUNKS * chunk_size, S.FBIG), verdict(none("o"), S.STALE), bad("_guard"), bad("_write", F.col("new_size")), bad("_chmod", F.col("new_mode")), bad("_chown", F.col("new_uid")), bad("_chgrp", F.col("new_gid")),
             bad("_times", F.coalesce("new_atime_ns", "new_mtime_ns"))),
     })
     rule = F.when(making, F.col("_make")).when(op.isin("remove", "rmdir"), F.col("_cut")).when(op == "rename", F.col("_move")).when(op == "setattr", F.col("_set")).otherwise(S.SERVERFAULT)
@@ -199,5 +226,3 @@ def _with_status(asked: DataFrame, chunk_size: int, mode: str) -> DataFrame:
 
 def empty_requests(spark) -> DataFrame:
     return spark.createDataFrame([], T._parse_datatype_string(REQUESTS))
-
-

@@ -82,7 +82,7 @@ def src_05_list(spark, d):
 
 def src_08_load(spark, d):
     refs = _refs(spark, d)
-    held = table(spark, d, "chunks").select(chunk_hash(F.col("hash")).alias("hash"), F.col("len")).distinct()
+    held = table(spark, d, "chunks").filter("deleted_ns IS NULL").select(chunk_hash(F.col("hash")).alias("hash"), F.col("len")).distinct()
     base = table(spark, d, "base_chunks").select("hash", "len")
     code = F.when(F.col("hash").isNull() | F.col("len").isNotNull(), S.OK).otherwise(S.IO)
     return refs.join(held.unionByName(base).groupBy("hash").agg(F.max("len").alias("len")), "hash", "left").select("bucket", "id", F.col("idx").cast("bigint").alias("idx"), F.coalesce("len", F.lit(0)).alias("len"), code.alias("status"))
@@ -416,13 +416,17 @@ def dat_19_unpinned(spark, d):
     return D.unpinned(inodes.join(named, ["bucket", "id"], "left_anti"), _inodes(spark, d).filter("type = 5"))
 
 
-def int_04_lru(spark, d):
+def _cached(spark, d):
     log = table(spark, d, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("key"), (F.length("event_type") * 100).cast("bigint").alias("size"))
     return cache.replay(log, ["user_id"], ["ts", "event_id"], 1300)
 
 
+def int_04_lru(spark, d):
+    return _cached(spark, d).drop("used")
+
+
 def int_05_counts(spark, d):
-    return int_04_lru(spark, d).groupBy("user_id").agg(F.count(F.when(F.col("hit"), 1)).alias("hits"), F.count(F.when(~F.col("hit"), 1)).alias("misses"))
+    return _cached(spark, d).groupBy("user_id").agg(F.count(F.when(F.col("hit"), 1)).alias("hits"), F.count(F.when(~F.col("hit"), 1)).alias("misses"))
 
 
 def _mutable(spark, d):
@@ -469,6 +473,84 @@ def mut_09_setattr(spark, d):
     return got.select("bucket", "status").join(ns.inodes.filter("id = 1").select("bucket", "mode"), "bucket", "left")
 
 
+def mut_09_resize(spark, d):
+    """Every file is set to half its size and then to the whole again by its owner: what is cut stays cut."""
+    files = _inodes(spark, d).filter("type = 1 AND uid IS NOT NULL")
+    ask = lambda seq, size: _ask(files, seq=F.lit(seq) * 1_000_000_000 + F.col("id"), op=F.lit("setattr"), id=F.col("id"), uid=F.col("uid"), gid=F.lit(20), new_size=size)
+    ns = _mutable(spark, d)
+    ns.refs = _refs(spark, d)
+    asked = ask(1, A.whole_division(F.col("size"), F.lit(2))).unionByName(ask(2, F.col("size")))
+    after, got = U.apply_requests(ns, asked, 1_750_000_000_000_000_000, 65536)
+    done = got.groupBy("bucket", "id").agg(F.max("status").alias("status"))
+    lists = after.refs.groupBy("bucket", "id").agg(F.count("*").alias("n_chunks"), F.count("hash").alias("n_stored"))
+    cut = after.trims.groupBy("bucket", "id").agg(F.max("idx").cast("bigint").alias("trim_idx"), F.max("to_len").alias("to_len"))
+    sized = after.inodes.filter("type = 1").select("bucket", "id", "size")
+    return done.filter("id IS NOT NULL").join(sized, ["bucket", "id"]).join(lists, ["bucket", "id"], "left").join(cut, ["bucket", "id"], "left")
+
+
+def dat_11_settle(spark, d):
+    """Every text cut to half: its last chunk is stored anew, under the name of what is left."""
+    refs = _chunks(spark, d)
+    cuts = _files(spark, d).select("doc_id", F.octet_length("data").cast("bigint").alias("old_size"), A.whole_division(F.octet_length("data"), F.lit(2)).alias("new_size"))
+    kept, trims = D.truncate(refs.select("doc_id", "idx", "hash", "size"), cuts, ["doc_id"], CUT)
+    settled, _ = D.settle(kept, refs.groupBy("hash").agg(F.first("data").alias("data")), ["doc_id"], trims=trims)
+    return settled.select("doc_id", F.col("idx").cast("bigint").alias("idx"), "hash", F.col("size").cast("bigint").alias("size"))
+
+
+def dat_14_dropped(spark, d):
+    """The buffers of every third file are dropped with it; a source is a mount."""
+    dirty = _chunks(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").select("source", "doc_id", F.col("size").alias("capacity"))
+    gone = table(spark, d, "documents").filter("doc_id % 3 = 0").select("doc_id")
+    left, released = D.drop_buffers(dirty, gone, ["doc_id"], ["source"])
+    both = left.select("source", F.col("capacity").alias("held")).unionByName(released, allowMissingColumns=True)
+    return both.groupBy("source").agg(F.sum("held").alias("held"), F.sum("released").alias("released"))
+
+
+def dat_16_edges(spark, d):
+    refs = _chunks(spark, d)
+    holes = _files(spark, d).select("doc_id", F.lit(500).cast("bigint").alias("off"), F.lit(1700).cast("bigint").alias("len"))
+    cut = D.punch_edges(refs, refs.groupBy("hash").agg(F.first("data").alias("data")), holes, ["doc_id"], CUT)
+    return cut.select("doc_id", F.col("idx").cast("bigint").alias("idx"), F.sha2("data", 256).alias("hash"))
+
+
+def dat_07_limits(spark, d):
+    """A write of 100,000 bytes at the end of every file, under a limit."""
+    code, taken = D.write_status(F.col("size"), F.lit(100_000), F.lit(1_000_000))
+    return _inodes(spark, d).filter("type = 1").select("bucket", "id", code.alias("status"), taken.cast("bigint").alias("taken"))
+
+
+def ns_04_cookies(spark, d):
+    """Every directory is read on from four places, under the verifier it has, an older one or none."""
+    listed = N.listing(_dirents(spark, d), _inodes(spark, d)).groupBy("bucket", "dir_id").agg(F.max("cookie").alias("length"))
+    verifier = lambda n: F.unhex(F.lpad(F.hex(F.col("dir_id") + n), 16, "0"))
+    given = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("v")) for n, v in (("current", verifier(7)), ("old", verifier(6)), ("none", F.unhex(F.lit("00" * 8))))])).alias("g")
+    cookie = F.explode(F.array(*[c.cast("bigint") for c in (F.lit(0), F.lit(2), F.col("length"), F.col("length") + 1)])).alias("cookie")
+    asked = listed.select("*", cookie).select("*", given)
+    return asked.select("bucket", "dir_id", "cookie", F.col("g.name").alias("verifier"), N.cookie_status(F.col("cookie"), F.col("length"), F.col("g.v"), verifier(7)).alias("status")).distinct()
+
+
+def ns_07_cache(spark, d):
+    """What each mount's cache reports: hits, misses and bytes held at the end of its log."""
+    return _cached(spark, d).groupBy("user_id").agg(F.count(F.when(F.col("hit"), 1)).alias("hits"), F.count(F.when(~F.col("hit"), 1)).alias("misses"), F.max_by("used", F.struct("ts", "event_id")).alias("bytes"))
+
+
+def mut_05_owner(spark, d):
+    """Files made by callers who ask for another owner: the uid is refused in silence, the gid taken as it is."""
+    roots = _inodes(spark, d).filter("id = 1").select("bucket", "uid")
+    ask = lambda seq, **given: _ask(roots, seq=F.lit(seq), op=F.lit("create"), dir_id=F.lit(1), name=F.lit(f"~by{seq}"), new_gid=F.lit(77), **given)
+    asked = ask(1, new_uid=F.lit(88)).unionByName(ask(2, uid=F.col("uid"), gid=F.lit(20), new_uid=F.lit(88))).unionByName(ask(3, uid=F.col("uid"), gid=F.lit(20), new_uid=F.col("uid")))
+    ns, got = U.apply_requests(_mutable(spark, d), asked, 1_750_000_000_000_000_000)
+    return got.join(ns.inodes.select("bucket", "id", "uid", "gid"), ["bucket", "id"], "left").select("bucket", "seq", "status", "uid", "gid")
+
+
+def str_01_cache(spark, d):
+    """The verdict on every request of a log in which each is finished ten seconds after it begins."""
+    log = table(spark, d, "events").select("user_id", "event_type", "ts", F.col("event_id").alias("seq"))
+    begun = log.select("*", F.lit("begin").alias("event"))
+    done = log.select("user_id", "event_type", (F.col("ts") + F.expr("INTERVAL 10 SECONDS")).alias("ts"), "seq", F.lit("finish").alias("event"))
+    return replies.verdicts(begun.unionByName(done), ["user_id"], ["event_type"])
+
+
 def mut_11_guard(spark, d):
     guard = F.when(F.col("id") % 2 == 0, F.col("ctime_ns")).when(F.col("id") % 3 == 0, F.lit(1).cast("bigint"))
     return _inodes(spark, d).select("bucket", "id", A.guard_status(F.col("ctime_ns"), guard).alias("status"))

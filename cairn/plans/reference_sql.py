@@ -41,6 +41,17 @@ NAME = "CASE WHEN name IS NULL OR name IN ('', '.', '..') THEN 22 WHEN strlen(na
 HANDLE = "printf('%016X%016X', id, gen)"
 KEY = r"regexp_replace(regexp_replace(snapshot, '^\s*(\./|/)*', ''), '\s+$', '')"
 
+# FNV-1a over the bytes spelt in h, by its offset basis and prime
+FNV = """list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(length(h) // 2), lambda i: ((instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1)::HUGEINT)),
+        lambda a, b: (xor(a, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"""
+# a name is held if it and the names used since fit the cache together
+KINDS = {"signup": 600, "purchase": 800, "error": 500, "view": 400, "click": 500}
+LRU = f"""WITH e AS (SELECT user_id, ts, event_id, event_type AS k, length(event_type) * 100 AS sz, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+l AS (SELECT *, {', '.join(f"max(i) FILTER (k = '{n}') OVER p AS l_{n}" for n in KINDS)} FROM e WINDOW p AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT *, CASE k {' '.join(f"WHEN '{n}' THEN l_{n}" for n in KINDS)} END AS own FROM l),
+h AS (SELECT user_id, ts, event_id, own IS NOT NULL AND sz + {' + '.join(f"CASE WHEN l_{n} > own THEN {z} ELSE 0 END" for n, z in KINDS.items())} <= 1300 AS hit FROM o)
+"""
+
 SQL = {
     "src_03_ranges": NS + "SELECT doc_id, hex(b[5:12]) AS bytes FROM f",
     "src_04_head": NS + "SELECT doc_id, size, md5(b) AS etag FROM f",
@@ -123,4 +134,33 @@ SQL = {
     "mut_09_setattr": NS + "SELECT bucket, CASE WHEN uid = 501 THEN 0 ELSE 1 END AS status, CASE WHEN uid = 501 THEN 384 ELSE mode END AS mode FROM n WHERE id = 1",
     "mut_11_guard": NS + "SELECT bucket, id, CASE WHEN id % 2 <> 0 AND id % 3 = 0 AND ctime_ns <> 1 THEN 10002 ELSE 0 END AS status FROM n",
     "fsm_01_edges": "SELECT * FROM (VALUES ('Writable', 'Diverge', 'Diverged', 'mode'), ('Known', 'SwapOK', 'Known', 'rootKnowledge'), ('Known', 'SwapUnknown', 'InDoubt', 'rootKnowledge'), ('InDoubt', 'ProbeOurs', 'Known', 'rootKnowledge'), ('InDoubt', 'ProbeUnchanged', 'Known', 'rootKnowledge')) t(from_state, event, to_state, machine)",
+    "mut_05_owner": NS + """, w AS (SELECT bucket, uid, CASE WHEN type <> 2 THEN 20 WHEN uid = 0 OR (mode >> 6) & 3 = 3 THEN 0 ELSE 13 END AS st, CASE WHEN type <> 2 THEN 20 ELSE 0 END AS root_st FROM n WHERE id = 1),
+        x AS (SELECT bucket, unnest([1, 2, 3])::BIGINT AS seq, uid, st, root_st FROM w), y AS (SELECT bucket, seq, CASE WHEN seq = 1 THEN root_st ELSE st END AS status, CASE WHEN seq = 1 OR (seq = 2 AND uid = 0) THEN 88 ELSE uid END AS u FROM x)
+        SELECT bucket, seq, status, CASE WHEN status = 0 THEN u END AS uid, CASE WHEN status = 0 THEN 77::BIGINT END AS gid FROM y""",
+    "mut_09_resize": NS + """, z AS (SELECT bucket, id, n.size, (n.size // 2 + 65535) // 65536 AS l1, (n.size + 65535) // 65536 AS l2, coalesce(max(r.idx) + 1, 0) AS have,
+          count(r.idx) FILTER (r.idx < (n.size // 2 + 65535) // 65536) AS kept, count(r.hash) FILTER (r.idx < (n.size // 2 + 65535) // 65536) AS stored, coalesce(max(r.idx) FILTER (r.idx < (n.size // 2 + 65535) // 65536) + 1, 0) AS have1,
+          count(r.hash) FILTER (r.idx = (n.size // 2 + 65535) // 65536 - 1) > 0 AND n.size // 2 < n.size AND (n.size // 2) % 65536 <> 0 AS cut FROM n LEFT JOIN r USING (bucket, id) WHERE type = 1 AND uid IS NOT NULL GROUP BY bucket, id, n.size),
+        y AS (SELECT *, kept + greatest(l1 - have, 0) + greatest(l2 - CASE WHEN have < l1 THEN l1 ELSE have1 END, 0) AS k FROM z)
+        SELECT bucket, id, 0 AS status, size, nullif(k, 0) AS n_chunks, CASE WHEN k > 0 THEN stored END AS n_stored, CASE WHEN cut THEN l1 - 1 END AS trim_idx, CASE WHEN cut THEN (size // 2) % 65536 END AS to_len FROM y""",
+    "dat_07_limits": NS + "SELECT bucket, id, CASE WHEN size >= 1000000 THEN 27 ELSE 0 END AS status, CASE WHEN size >= 1000000 THEN 0 ELSE least(100000, 1000000 - size) END AS taken FROM n WHERE type = 1",
+    "dat_11_settle": NS + "SELECT doc_id, idx, sha256(CASE WHEN (idx + 1) * 1024 > f.size // 2 THEN b[idx * 1024 + 1:f.size // 2] ELSE data END) AS hash, least(1024, f.size // 2 - idx * 1024)::BIGINT AS size FROM k JOIN f USING (doc_id) WHERE idx * 1024 < f.size // 2",
+    "dat_14_dropped": NS + "SELECT source, sum(size) FILTER (doc_id % 3 <> 0)::BIGINT AS held, sum(size) FILTER (doc_id % 3 = 0)::BIGINT AS released FROM k JOIN documents USING (doc_id) GROUP BY source",
+    "dat_16_edges": NS + """SELECT doc_id, idx, sha256(CASE WHEN idx = 0 THEN CASE WHEN size > 500 THEN data[1:500] || unhex(repeat('00', size::INT - 500)) ELSE data END
+        ELSE unhex(repeat('00', least(size, 152)::INT)) || CASE WHEN size > 152 THEN data[153:size] ELSE ''::BLOB END END) AS hash FROM k WHERE idx IN (0, 2)""",
+    "ns_04_cookies": NS + """, m AS (SELECT bucket, dir_id, max(cookie) AS len FROM l GROUP BY bucket, dir_id), c AS (SELECT bucket, dir_id, len, unnest([0, 2, len, len + 1]) AS cookie FROM m), v AS (SELECT *, unnest(['current', 'old', 'none']) AS verifier FROM c)
+        SELECT DISTINCT bucket, dir_id, cookie, verifier, CASE WHEN cookie > len OR (cookie > 0 AND verifier = 'old') THEN 10003 ELSE 0 END AS status FROM v""",
+    "int_04_lru": LRU + "SELECT user_id, ts, event_id, hit FROM h",
+    "int_05_counts": LRU + "SELECT user_id, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses FROM h GROUP BY user_id",
+    "ns_07_cache": LRU + """, t AS (SELECT user_id, k, any_value(sz) AS sz, max(i) AS m FROM e GROUP BY user_id, k), u AS (SELECT *, sum(sz) OVER (PARTITION BY user_id ORDER BY m DESC) AS upto FROM t),
+        b AS (SELECT user_id, sum(sz) FILTER (upto <= 1300)::BIGINT AS bytes FROM u GROUP BY user_id) SELECT user_id, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, any_value(bytes) AS bytes FROM h JOIN b USING (user_id) GROUP BY user_id""",
+    "str_01_cache": """WITH RECURSIVE e AS (SELECT user_id, event_type, event_id AS seq, epoch_us(ts) AS t, 1 AS o FROM events UNION ALL SELECT user_id, event_type, event_id, epoch_us(ts) + 10000000, 0 FROM events),
+        s AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY t, o, seq) AS i FROM e),
+        w AS (SELECT DISTINCT user_id, event_type, 0::BIGINT AS i, NULL::BIGINT AS held, NULL::VARCHAR AS verdict, NULL::BIGINT AS seq FROM s
+        UNION ALL SELECT s.user_id, s.event_type, s.i, CASE WHEN o = 0 THEN CASE WHEN held = -1 THEN t ELSE held END WHEN held IS NULL OR (held >= 0 AND held <= t - 120000000) THEN -1 ELSE held END,
+          CASE WHEN o = 0 THEN NULL WHEN held IS NULL OR (held >= 0 AND held <= t - 120000000) THEN 'miss' WHEN held = -1 THEN 'in flight' ELSE 'hit' END, s.seq
+          FROM w JOIN s ON s.user_id = w.user_id AND s.event_type = w.event_type AND s.i = w.i + 1)
+        SELECT user_id, event_type, seq, verdict FROM w WHERE verdict IS NOT NULL""",
+    "str_03_budget": "WITH x AS (SELECT user_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events) SELECT user_id, seq, (i % 10 + 1) * 1024 AS used, i > 0 AND i % 10 = 0 AS drained FROM x",
+    "prj_10_fsid": f"WITH x AS (SELECT DISTINCT bucket, hex(encode('s3://' || bucket)) AS h FROM roots) SELECT bucket, ({FNV})::DECIMAL(20, 0) AS fsid FROM x",
+    "prj_11_verifiers": NS + f", x AS (SELECT bucket, dir_id, string_agg(hex(encode(name)) || '00', '' ORDER BY name) AS h FROM (SELECT DISTINCT bucket, dir_id, name FROM d) GROUP BY bucket, dir_id) SELECT bucket, dir_id, lpad(hex(({FNV})::UBIGINT), 16, '0') AS verifier FROM x",
 }

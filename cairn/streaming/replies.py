@@ -57,9 +57,13 @@ class ReplyCache(StatefulProcessor):
 
 
 def replay(held: dict, key: tuple, event: str, now: float, ttl: float, entries: int) -> str | None:
-    """One event of a cache; held maps key to the time of its finish, -1 in flight. The verdict of a begin, None of a finish."""
+    """One event of a cache; held maps key to the time of its finish, -1 in flight. The verdict of a begin, None of a finish.
+
+    A finish ends what is in flight; one of a request that was answered from the
+    cache renews nothing.
+    """
     if event == "finish":
-        if key in held:
+        if held.get(key, 0) < 0:
             held.pop(key)
             held[key] = now
             done = [k for k, v in held.items() if v >= 0]
@@ -87,3 +91,29 @@ def repeats(requests: DataFrame, keys: list[str], ts: str, ttl_seconds: int = TT
     before = F.lag(ts).over(Window.partitionBy(*keys).orderBy(ts, *[c for c in requests.columns if c not in (*keys, ts)]))
     gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(before.cast("timestamp"))
     return requests.withColumn("repeat", F.coalesce(gap < ttl_seconds * 1_000_000, F.lit(False)))
+
+
+def verdicts(events: DataFrame, conn: list[str], key: list[str], ttl_seconds: float = TTL_SECONDS, entries: int = ENTRIES) -> DataFrame:
+    """Batch form of classify: (conn…, key…, seq, verdict) of each begin of a log (conn…, key…, ts, seq, event).
+
+    A connection's events pass in order of time, of equal times a finish before a
+    begin; a task holds one connection's cache, which has at most ``entries``
+    finished replies, never a log.
+    """
+    columns = [*conn, *key]
+    kinds = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in columns)
+
+    def run(batches):
+        at, held = None, {}
+        for pdf in batches:
+            said = []
+            for row in zip(*[pdf[c] for c in columns], pdf["event"], pdf["_at"]):
+                if row[: len(conn)] != at:
+                    at, held = row[: len(conn)], {}
+                said.append(replay(held, row[len(conn) : -2], row[-2], row[-1], ttl_seconds * 1_000_000, entries))
+            out = pd.DataFrame({**{c: pdf[c] for c in columns}, "seq": pdf["seq"], "verdict": said})
+            yield out[out["verdict"].notna()]
+
+    order = F.when(F.col("event") == "finish", 0).otherwise(1).alias("_o")
+    ordered = events.select(*columns, "seq", "event", F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"), order).repartition(*conn).sortWithinPartitions(*conn, "_at", "_o", "seq")
+    return ordered.drop("_o").mapInPandas(run, f"{kinds}, seq bigint, verdict string")
