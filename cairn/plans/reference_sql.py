@@ -52,11 +52,16 @@ o AS (SELECT *, CASE k {' '.join(f"WHEN '{n}' THEN l_{n}" for n in KINDS)} END A
 h AS (SELECT user_id, ts, event_id, own IS NOT NULL AND sz + {' + '.join(f"CASE WHEN l_{n} > own THEN {z} ELSE 0 END" for n, z in KINDS.items())} <= 1300 AS hit FROM o)
 """
 
+# chunks referred to by a snapshot that is not pruned, or by a bucket's newest
+KEPT = f"""WITH kept AS (SELECT bucket, epoch FROM snapshots WHERE pruned_ns IS NULL UNION SELECT bucket, max(epoch) FROM snapshots GROUP BY bucket),
+m AS (SELECT DISTINCT {HASH.format(c='hash')} AS hash FROM chunk_refs SEMI JOIN kept USING (bucket, epoch))
+"""
+
 SQL = {
     "src_03_ranges": NS + "SELECT doc_id, hex(b[5:12]) AS bytes FROM f",
     "src_04_head": NS + "SELECT doc_id, size, md5(b) AS etag FROM f",
     "src_05_list": "SELECT DISTINCT 'chunks/' || lower(hash) AS key, len AS size FROM chunks WHERE 'chunks/' || lower(hash) > 'chunks/8' ORDER BY key LIMIT 100",
-    "src_08_load": NS + f", h AS (SELECT h, max(len) len FROM (SELECT {HASH.format(c='hash')} h, len FROM chunks UNION ALL SELECT hash, len FROM base_chunks) GROUP BY h) SELECT bucket, id, idx::BIGINT AS idx, coalesce(len, 0) AS len, CASE WHEN hash IS NULL OR len IS NOT NULL THEN 0 ELSE 5 END AS status FROM r LEFT JOIN h ON h = hash",
+    "src_08_load": NS + f", h AS (SELECT h, max(len) len FROM (SELECT {HASH.format(c='hash')} h, len FROM chunks WHERE deleted_ns IS NULL UNION ALL SELECT hash, len FROM base_chunks) GROUP BY h) SELECT bucket, id, idx::BIGINT AS idx, coalesce(len, 0) AS len, CASE WHEN hash IS NULL OR len IS NOT NULL THEN 0 ELSE 5 END AS status FROM r LEFT JOIN h ON h = hash",
     "snk_04_upload": NS + ", e AS (SELECT DISTINCT sha256(encode(text)) h FROM eval_items WHERE strlen(text) <= 1024) SELECT sha256(data) AS hash, any_value(size) AS len FROM k WHERE sha256(data) NOT IN (SELECT h FROM e) GROUP BY sha256(data)",
     "snk_06_errors": "SELECT doc_id, CASE WHEN http_status = 404 OR doc_id % 3 = 1 THEN 'NotFound' WHEN http_status IN (412, 409) OR doc_id % 3 = 2 THEN 'Precondition' WHEN http_status = 501 THEN 'Unsupported' ELSE 'Other' END AS error FROM documents",
     "prj_01_getattr": NS + "SELECT bucket, id, gen, type, mode, nlink, uid, gid, size, atime_ns, mtime_ns, ctime_ns FROM n",
@@ -81,9 +86,15 @@ SQL = {
     "ns_01_lookup": NS + """, a AS (SELECT bucket, dir_id, name, child_id FROM d UNION ALL SELECT bucket, id, '.', id FROM n UNION ALL SELECT bucket, id, '..', CASE WHEN id = 1 THEN 1 ELSE parent END FROM n UNION ALL SELECT bucket, id, 'no such name', NULL FROM n),
         s AS (SELECT a.*, CASE WHEN x.id IS NULL THEN 70 WHEN x.type <> 2 THEN 20 WHEN y.id IS NULL THEN 2 ELSE 0 END AS status FROM a LEFT JOIN n x ON x.bucket = a.bucket AND x.id = a.dir_id LEFT JOIN n y ON y.bucket = a.bucket AND y.id = a.child_id)
         SELECT bucket, dir_id, name, CASE WHEN status = 0 THEN child_id END AS child_id, status FROM s""",
-    "ns_02_walk": NS + """, a AS (SELECT d.bucket, '/' || u.name || '/' || d.name AS path, u.child_id AS c1, d.child_id AS c2 FROM d JOIN d u ON u.bucket = d.bucket AND u.dir_id = 1 AND u.child_id = d.dir_id),
-        s AS (SELECT a.*, CASE WHEN x.id IS NULL THEN 2 WHEN x.type <> 2 THEN 20 WHEN y.id IS NULL THEN 2 ELSE 0 END AS status FROM a LEFT JOIN n x ON x.bucket = a.bucket AND x.id = c1 LEFT JOIN n y ON y.bucket = a.bucket AND y.id = c2)
-        SELECT bucket, path, CASE WHEN status = 0 THEN c2 END AS id, status FROM s""",
+    "ns_02_walk": NS + """, sp AS (SELECT * FROM d WHERE name IS NOT NULL AND name NOT IN ('', '.', '..') AND NOT contains(name, '/')),
+        lk AS (SELECT *, child_id IN (SELECT dir_id FROM sp i WHERE i.bucket = sp.bucket) AS inner_ FROM sp WHERE child_id <> dir_id),
+        go AS (SELECT DISTINCT bucket, 1::BIGINT AS at, '' AS path, [1::BIGINT] AS above, 0 AS st FROM sp
+          UNION ALL SELECT go.bucket, lk.child_id, go.path || '/' || lk.name, list_append(go.above, lk.child_id), CASE WHEN st <> 0 THEN st WHEN x.id IS NULL THEN 70 WHEN x.type <> 2 THEN 20 WHEN y.id IS NULL THEN 2 ELSE 0 END
+          FROM go JOIN lk ON lk.bucket = go.bucket AND lk.dir_id = go.at AND lk.inner_ AND NOT list_contains(go.above, lk.child_id)
+          LEFT JOIN n x ON x.bucket = go.bucket AND x.id = go.at LEFT JOIN n y ON y.bucket = go.bucket AND y.id = lk.child_id),
+        s AS (SELECT go.bucket, go.path || '/' || sp.name AS path, sp.child_id, CASE WHEN st <> 0 THEN st WHEN x.id IS NULL THEN 70 WHEN x.type <> 2 THEN 20 WHEN y.id IS NULL THEN 2 ELSE 0 END AS status
+          FROM go JOIN sp ON sp.bucket = go.bucket AND sp.dir_id = go.at LEFT JOIN n x ON x.bucket = go.bucket AND x.id = go.at LEFT JOIN n y ON y.bucket = go.bucket AND y.id = sp.child_id)
+        SELECT bucket, path, CASE WHEN status = 0 THEN child_id END AS id, status FROM s""",
     "ns_04_listing": NS + "SELECT bucket, dir_id, cookie, name, there FROM l",
     "ns_04_replies": NS + ", " + _page(2, 512, 32) + " SELECT bucket, dir_id, cookie, name, eof FROM pe",
     "ns_05_plus": NS + ", " + _page(0, 1024, 160) + f" SELECT pe.bucket, dir_id, cookie, name, {HANDLE} AS handle, type, mode, size FROM pe JOIN n ON n.bucket = pe.bucket AND n.id = pe.child_id",
@@ -106,8 +117,8 @@ SQL = {
     "cmt_10_prunable": "WITH k AS (SELECT DISTINCT bucket, key FROM snapshots), x AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY key DESC) rn FROM k) SELECT bucket, key FROM x WHERE rn > 4",
     "cmt_14_modes": "WITH x AS (SELECT event_id, ['Writable', 'ReadOnly', 'Diverged'][user_id % 3 + 1] AS s, event_type FROM events), y AS (SELECT event_id, s, CASE WHEN s = 'Writable' AND event_type = 'error' THEN 'Diverged' END AS next FROM x) SELECT event_id, next, CASE coalesce(next, s) WHEN 'Writable' THEN 0 WHEN 'ReadOnly' THEN 30 ELSE 70 END AS gate FROM y",
     "cmt_16_as_of": "SELECT DISTINCT bucket, epoch, dir_id, name, child_id FROM dirents JOIN (SELECT bucket, min(epoch) epoch FROM snapshots GROUP BY bucket) USING (bucket, epoch)",
-    "cmt_17_mark": NS + "SELECT DISTINCT hash FROM r WHERE regexp_full_match(hash, '[0-9a-f]{64}')",
-    "cmt_18_sweep": NS + f", s AS (SELECT {HASH.format(c='hash')} AS hash, len, stored_ns FROM chunks WHERE deleted_ns IS NULL AND stored_ns < 1745000000000000000) SELECT DISTINCT hash, len, stored_ns FROM s WHERE hash NOT IN (SELECT hash FROM r WHERE hash IS NOT NULL)",
+    "cmt_17_mark": KEPT + "SELECT hash FROM m WHERE regexp_full_match(hash, '[0-9a-f]{64}')",
+    "cmt_18_sweep": KEPT + f", s AS (SELECT {HASH.format(c='hash')} AS hash, len, stored_ns FROM chunks WHERE deleted_ns IS NULL AND stored_ns < 1745000000000000000) SELECT DISTINCT hash, len, stored_ns FROM s WHERE hash NOT IN (SELECT hash FROM m WHERE hash IS NOT NULL)",
     "fsm_02_fold": """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_type AS t FROM events),
         w AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 'Known' AS state, 0 AS refused FROM e
         UNION ALL SELECT e.user_id, e.i, CASE WHEN state = 'Known' AND t = 'purchase' THEN 'InDoubt' WHEN state = 'InDoubt' AND t IN ('click', 'view') THEN 'Known' ELSE state END,
