@@ -149,18 +149,22 @@ class _Scan:
     def __call__(self, batches):
         grams, numbers, split = self.shared.value, _numbers(), {}
         for batch in batches:
-            rows = []
-            for d, text in enumerate(batch.column(1).to_pylist()):
-                own = words(text)
-                found: dict[int, set] = {}
-                for at, n, row, place in grams.hits(numbers.of(own)) if own else ():
-                    if row not in split:
-                        if len(split) > 10_000:
-                            split.clear()
-                        split[row] = grams.texts[row].split(" ")
-                    if own[at : at + n] == split[row][place : place + n]:
-                        found.setdefault(int(grams.items[row]), set()).add((at, at + n))
-                rows += [(d, item, lo, hi) for item, places in found.items() for lo, hi in _joined(places)]
+            own = [words(t) for t in batch.column(1).to_pylist()]
+            starts = np.cumsum([0, *(len(w) + 1 for w in own)])
+            every = np.zeros(starts[-1], np.uint64)  # a number that is no word's stands between documents
+            for w, at in zip(own, starts):
+                every[at : at + len(w)] = numbers.of(w)
+            found: dict[tuple[int, int], set] = {}
+            for at, n, row, place in grams.hits(every):
+                d = int(np.searchsorted(starts, at, "right")) - 1
+                at -= int(starts[d])
+                if row not in split:
+                    if len(split) > 10_000:
+                        split.clear()
+                    split[row] = grams.texts[row].split(" ")
+                if own[d][at : at + n] == split[row][place : place + n]:
+                    found.setdefault((d, int(grams.items[row])), set()).add((at, at + n))
+            rows = [(d, item, lo, hi) for (d, item), places in found.items() for lo, hi in _joined(places)]
             c = list(zip(*rows)) or [()] * 4
             docs = pa.array(c[0], pa.int64())
             yield pa.RecordBatch.from_arrays(
