@@ -144,11 +144,14 @@ def read_directory(listed: DataFrame, after: Column, budget: int, cost: int = EN
     """
     room = max(budget, 2 * cost)
     by = Window.partitionBy("bucket", "dir_id").orderBy("cookie")
-    shown = listed.filter("there").withColumn("_last", F.max("cookie").over(Window.partitionBy("bucket", "dir_id"))).filter(F.col("cookie") > after)
+    shown = listed.filter("there").drop("there")
+    last = shown.groupBy("bucket", "dir_id").agg(F.max("cookie").alias("_last"))
+    # so many entries hold more than any reply; the rest of a directory stays where it is
+    near = shown.filter(F.col("cookie") > after).withColumn("_rn", F.row_number().over(by)).filter(F.col("_rn") <= room // cost + 1)
     used = F.sum(F.octet_length("name") + cost).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    fits = shown.withColumns({"_u": used, "_rn": F.row_number().over(by)}).filter((F.col("_u") <= room) | (F.col("_rn") == 1))
+    fits = near.withColumn("_u", used).filter((F.col("_u") <= room) | (F.col("_rn") == 1))
     end = F.max("cookie").over(Window.partitionBy("bucket", "dir_id"))
-    return fits.withColumn("eof", end == F.col("_last")).drop("_u", "_rn", "_last", "there")
+    return fits.withColumn("_end", end).join(last, ["bucket", "dir_id"]).withColumn("eof", F.col("_end") == F.col("_last")).drop("_u", "_rn", "_last", "_end")
 
 
 def cookie_status(cookie: Column, length: Column, verifier: Column, current: Column) -> Column:
@@ -182,6 +185,12 @@ def is_ancestor(pairs: DataFrame, closure: DataFrame) -> DataFrame:
     return pairs.join(held, ["bucket", "id", "below_id"], "left").withColumn("inside", F.col("_in").isNotNull() | (F.col("id") == F.col("below_id"))).drop("_in")
 
 
+def lies_under(pairs: DataFrame, trails: DataFrame) -> DataFrame:
+    """is_ancestor from the trails of hierarchy(trail=True): one row a pair is joined, not every pair of an ancestor and a node."""
+    held = trails.select("bucket", F.col("id").alias("below_id"), "above")
+    return pairs.join(held, ["bucket", "below_id"], "left").withColumn("inside", F.coalesce(F.array_contains("above", F.col("id")), F.lit(False)) | (F.col("id") == F.col("below_id"))).drop("above")
+
+
 def link_counts(inodes: DataFrame, dirents: DataFrame) -> DataFrame:
     """(bucket, id, links): a directory's links are 2 and its subdirectories."""
     kids = inodes.filter(F.col("type") == S.DIR).select("bucket", F.col("id").alias("child_id"))

@@ -13,8 +13,11 @@ KEEP = 10
 def prunable(snapshots: DataFrame, current: DataFrame, keep: int = KEEP) -> DataFrame:
     """(bucket, key) of snapshots below the current one (bucket, current), but for the newest ``keep``."""
     below = snapshots.select("bucket", "key").distinct().join(current, "bucket").filter(F.col("key") < F.col("current"))
+    if keep <= 0:
+        return below.select("bucket", "key")
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("key").desc()))
-    return below.withColumn("_r", rank).filter(F.col("_r") > max(keep, 0)).select("bucket", "key")
+    newest = below.withColumn("_r", rank).filter(F.col("_r") <= keep)  # a limit within each task first, so no bucket is sorted in one
+    return below.join(newest, ["bucket", "key"], "left_anti").select("bucket", "key")
 
 
 def at_epoch(relation: DataFrame, epochs: DataFrame) -> DataFrame:

@@ -355,10 +355,10 @@ def snk_05_encode(spark, d):
 
 def ns_03_ancestors(spark, d):
     tree = hierarchy.newest_tree(*[table(spark, d, n) for n in ("snapshots", "inodes", "dirents")])
-    below = hierarchy.descendants(hierarchy.hierarchy(tree, trail=True))
+    trails = hierarchy.hierarchy(tree, trail=True)
     named = _dirents(spark, d)
     pairs = named.select("bucket", F.col("dir_id").alias("id"), F.col("child_id").alias("below_id")).unionByName(named.select("bucket", F.col("child_id").alias("id"), F.col("dir_id").alias("below_id"))).distinct()
-    return N.is_ancestor(pairs, below)
+    return N.lies_under(pairs, trails).select("bucket", "id", "below_id", "inside")
 
 
 def ns_07_stats(spark, d):
