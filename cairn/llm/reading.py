@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.prose import formula_grade, sentences
+from cairn.planning import broadcast_if_small
 from cairn.scratch import Scratch
 
 LEAST_WORDS = 80
@@ -161,7 +162,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, least_words: int = L
     pages = scratch.write(profiles(documents, least_words))
     seen = scratch.write(word_grades(pages, 1))
     known_parts = scratch.write(quantiles(pages, seen.filter(F.col("n_pages") >= known).select("word", "grade"), broadcast_words))
-    rare = pages.join(known_parts.filter("parts IS NULL").select("doc_id"), "doc_id", "left_semi")
+    unknown = known_parts.filter("parts IS NULL").select("doc_id")
+    rare = pages.join(broadcast_if_small(unknown, unknown), "doc_id", "left_semi")
     parts = known_parts.filter("parts IS NOT NULL").unionByName(quantiles(rare, seen.select("word", "grade"), 0))
     level = scratch.write(parts.join(pages.select("doc_id", "n_words"), "doc_id").distinct())
     number = F.array_position(F.array(*[F.lit(b) for b in BANDS]), F.col("band")) - 1
