@@ -11,6 +11,11 @@ BYTES = 256 << 20
 
 
 def replay(log: DataFrame, keys: list[str], order: list[str], limit: int = BYTES) -> DataFrame:
+    """readings without the bytes: (keys…, order…, hit)."""
+    return readings(log, keys, order, limit).drop("used")
+
+
+def readings(log: DataFrame, keys: list[str], order: list[str], limit: int = BYTES) -> DataFrame:
     """(keys…, order…, hit, used) of each access (keys…, order…, key, size) to a least-recently-used cache per keys.
 
     A hit refreshes; what is larger than the limit is not kept. Rows pass sorted,

@@ -418,7 +418,7 @@ def dat_19_unpinned(spark, d):
 
 def _cached(spark, d):
     log = table(spark, d, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("key"), (F.length("event_type") * 100).cast("bigint").alias("size"))
-    return cache.replay(log, ["user_id"], ["ts", "event_id"], 1300)
+    return cache.readings(log, ["user_id"], ["ts", "event_id"], 1300)
 
 
 def int_04_lru(spark, d):
