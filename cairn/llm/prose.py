@@ -17,6 +17,7 @@ VOWELS = re.compile(r"[aeiouy]+")
 #: Words of a site talking of itself, and phrases of words that prose has too; one in a short sentence marks it as a notice.
 NOTICE = frozenset("cookie cookies privacy subscribe unsubscribe newsletter e-mail email advertisement login javascript copyright sitemap webmaster".split())
 NOTICE_PHRASE = re.compile(r"\b(?:please log in|log in (?:to|again|or|with|first)|rights reserved|planned maintenance|your browser|access denied|address was blocked|requested url|\d+ comments?)\b")
+PHRASE_WORDS = frozenset("log reserved maintenance browser denied blocked url comment comments".split())
 NOTICE_WORDS = 14
 #: Common English function words that are not common in neighbouring languages.
 FUNCTION = frozenset("the of and to with that this for from by is are was were had has have it its he she they we you i not be been which whose as at on an but so because if when where there their each every most no any than upon into near".split())
@@ -58,7 +59,7 @@ def sentences(text: str | None) -> list[list[str]]:
             tokens = TOKEN.findall(stretch)
             if not tokens:
                 foreign += len(LETTER.findall(stretch)) // 5
-            elif len(tokens) > 1 and (len(tokens) > NOTICE_WORDS or NOTICE.isdisjoint(tokens) and not NOTICE_PHRASE.search(stretch)):
+            elif len(tokens) > 1 and (len(tokens) > NOTICE_WORDS or NOTICE.isdisjoint(tokens) and (PHRASE_WORDS.isdisjoint(tokens) or not NOTICE_PHRASE.search(stretch))):
                 english = sum(map(FUNCTION.__contains__, tokens))
                 if english or len(tokens) < 4:
                     found.append(tokens)
