@@ -13,6 +13,7 @@ from cairn.operators import filedata as D
 from cairn.operators import policy as P
 from cairn.operators.attributes import MAX_CHUNKS, guard_status, mount_gate, name_status
 from cairn.operators.hierarchy import hierarchy
+from cairn.planning import broadcast_if_small
 from cairn.scratch import Scratch
 
 #: A batch of requests; op is create, mkdir, symlink, remove, rmdir, rename or setattr.
@@ -20,7 +21,7 @@ REQUESTS = (
     "bucket string, seq bigint, op string, uid bigint, gid bigint, gids array<bigint>, dir_id bigint, name string, to_dir bigint, to_name string, id bigint, "
     "exclusive boolean, target string, new_size bigint, new_mode int, new_uid bigint, new_gid bigint, new_atime_ns bigint, new_mtime_ns bigint, guard_ns bigint"
 )
-BARRIERS = ("rmdir", "rename")
+BARRIERS = ("rmdir",)
 FIELDS = ("bucket", "id", "gen", "type", "mode", "uid", "gid", "nlink", "size", "atime_ns", "mtime_ns", "ctime_ns", "parent", "target")
 
 
@@ -43,28 +44,32 @@ class Namespace:
 def waves(requests: DataFrame, next_ino: DataFrame) -> DataFrame:
     """Requests with their wave: the longest stretch of a bucket's order in which no two touch each other.
 
-    Entries of different names are added and removed side by side, and so are the
-    attributes of different inodes changed, but not both at once. A rename and
-    the removal of a directory look at more than their own entry and stand alone; a request that names an inode made in this batch
-    waits for the wave before. Numbers of inodes thus follow the order of
-    requests. Stretches are found in one pass over the sorted requests, which
-    holds the hashes of one wave's entries.
+    Entries of different names are added and removed side by side; so are the
+    attributes of different inodes changed, and entries renamed that share no
+    name, but not one beside the other. Renames that turn out to move or replace
+    a directory are put off to a pass of their own when they are applied. The
+    removal of a directory looks at more than its own entry and stands alone; a
+    request that names an inode made in this batch waits for the wave before.
+    Numbers of inodes thus follow the order of requests. Stretches are found in
+    one pass over the sorted requests, which holds the hashes of one wave's
+    entries.
     """
     made = F.col("op").isin("create", "mkdir", "symlink")
     newest = F.greatest(*[F.coalesce(c, F.lit(0)) for c in ("dir_id", "to_dir", "id")])
     marks = requests.join(next_ino, "bucket", "left").select(
-        "bucket", "seq", F.when(F.col("op") == "setattr", F.xxhash64("id")).otherwise(F.xxhash64("dir_id", "name")).alias("entry"), (F.col("op") == "setattr").alias("sets"), F.col("op").isin(*BARRIERS).alias("alone"), made.alias("makes"), F.coalesce(newest >= F.col("next_ino"), F.lit(False)).alias("waits"))
+        "bucket", "seq", F.when(F.col("op") == "setattr", F.xxhash64("id")).otherwise(F.xxhash64("dir_id", "name")).alias("entry"),
+        F.when(F.col("op") == "rename", F.xxhash64("to_dir", "to_name")).otherwise(F.xxhash64("dir_id", "name")).alias("other"), F.when(F.col("op").isin("setattr", "rename"), F.col("op")).otherwise("names").alias("kind"), F.col("op").isin(*BARRIERS).alias("alone"), made.alias("makes"), F.coalesce(newest >= F.col("next_ino"), F.lit(False)).alias("waits"))
 
     def run(batches):
         at, wave, entries, makes, closed, kind = None, 0, set(), False, True, None
         for pdf in batches:
             out = []
-            for bucket, entry, sets, alone, new, waits in zip(pdf.bucket, pdf.entry, pdf.sets, pdf.alone, pdf.makes, pdf.waits):
+            for bucket, entry, other, own, alone, new, waits in zip(pdf.bucket, pdf.entry, pdf.other, pdf.kind, pdf.alone, pdf.makes, pdf.waits):
                 if bucket != at:
                     at, wave, closed = bucket, 0, True
-                if closed or alone or sets != kind or entry in entries or (waits and makes):
-                    wave, entries, makes, kind = wave + 1, set(), False, sets
-                entries.add(entry)
+                if closed or alone or own != kind or entry in entries or other in entries or (waits and makes):
+                    wave, entries, makes, kind = wave + 1, set(), False, own
+                entries |= {entry, other}
                 makes, closed = makes or new, alone
                 out.append(wave)
             yield pdf[["bucket", "seq"]].assign(wave=out)
@@ -76,8 +81,8 @@ def waves(requests: DataFrame, next_ino: DataFrame) -> DataFrame:
 def apply_requests(ns: Namespace, requests: DataFrame, now_ns: int, chunk_size: int = 1 << 20, mode: str = "Writable") -> tuple[Namespace, DataFrame]:
     """(namespace after, (bucket, seq, status, id)) of ordered requests (REQUESTS).
 
-    As many passes as a bucket has waves; in a pass all buckets and entries move
-    together, and the namespace is written between passes.
+    As many passes as a bucket has waves and renames of directories; in a pass all
+    buckets and entries move together, and the namespace is written between passes.
     """
     spark = requests.sparkSession
     scratch = Scratch(spark, "mutations")
@@ -89,12 +94,32 @@ def apply_requests(ns: Namespace, requests: DataFrame, now_ns: int, chunk_size:
     ns = Namespace(scratch.write(ns.inodes.select(*FIELDS)), scratch.write(ns.dirents.select("bucket", "dir_id", "name", "child_id")), scratch.write(ns.next_ino), refs, trims)
     last = staged.agg(F.max("wave")).first()[0] or 0
     results = spark.createDataFrame([], "bucket string, seq bigint, status int, id bigint")
+    now = now_ns
     for wave in range(1, last + 1):
-        ns, done = _apply_wave(ns, staged.filter(F.col("wave") == wave), now_ns + wave, chunk_size, mode, scratch)
-        results = results.unionByName(done)
+        rest = staged.filter(F.col("wave") == wave)
+        while rest is not None:
+            now += 1
+            ns, done, rest = _apply_wave(ns, rest, now, chunk_size, mode, scratch)
+            results = results.unionByName(done)
     return ns, results
 
 
+def _in_one_pass(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests of a wave that may be applied together, those put off).
+
+    Renames of files that share no name do not touch each other; one that moves
+    or replaces a directory looks at the tree around it. Up to the first of those
+    all go at once, or that one alone.
+    """
+    serial = (F.col("op") == "rename") & ((F.col("c_type") == S.DIR) | (F.col("v_type") == S.DIR))
+    marked = asked.withColumn("_serial", F.coalesce(serial, F.lit(False)))
+    first = marked.groupBy("bucket").agg(F.min(F.when(F.col("_serial"), F.col("seq"))).alias("_stop"), F.min("seq").alias("_low"))
+    first = broadcast_if_small(first, first, ("bucket",))
+    goes = F.col("_stop").isNull() | (F.col("seq") < F.col("_stop")) | ((F.col("seq") == F.col("_stop")) & (F.col("seq") == F.col("_low")))
+    parted = marked.join(first, "bucket").withColumn("_go", goes)
+    return parted.filter("_go").select(asked.columns), parted.filter("NOT _go").select("bucket", "seq")
+
+
 def _who() -> P.Who:
     return P.Who(F.col("uid"), F.col("gid"), F.col("gids"))
 
@@ -107,7 +132,8 @@ def _as(inodes: DataFrame, prefix: str, key: str) -> DataFrame:
     return inodes.select("bucket", F.col("id").alias(key), *[F.col(c).alias(f"{prefix}_{c}") for c in FIELDS if c not in ("bucket", "id")])
 
 
-def _apply_wave(ns: Namespace, wave: DataFrame, now: int, chunk_size: int, mode: str, scratch: Scratch) -> tuple[Namespace, DataFrame]:
+def _apply_wave(ns: Namespace, wave: DataFrame, now: int, chunk_size: int, mode: str, scratch: Scratch) -> tuple[Namespace, DataFrame, DataFrame | None]:
+    """(namespace, results, requests put off if any) of one pass."""
     inodes, dirents = ns.inodes, ns.dirents
     entry = dirents.select("bucket", "dir_id", "name", F.col("child_id").alias("c_id"))
     to_entry = dirents.select("bucket", F.col("dir_id").alias("to_dir"), F.col("name").alias("to_name"), F.col("child_id").alias("v_id"))
@@ -118,7 +144,12 @@ def _apply_wave(ns: Namespace, wave: DataFrame, now: int, chunk_size: int, mode:
         .join(_as(inodes, "o", "id"), ["bucket", "id"], "left")
         .join(sizes.select("bucket", F.col("_i").alias("c_id"), F.col("_n").alias("c_n")), ["bucket", "c_id"], "left").join(sizes.select("bucket", F.col("_i").alias("v_id"), F.col("_n").alias("v_n")), ["bucket", "v_id"], "left")
     )
-    if wave.filter("op = 'rename'").limit(1).count():
+    rest = None
+    if not wave.filter("op = 'rename'").isEmpty():
+        asked, later = _in_one_pass(scratch.write(asked))
+        later = scratch.write(later)
+        rest = None if later.isEmpty() else wave.join(later, ["bucket", "seq"], "left_semi")
+    if not asked.filter((F.col("op") == "rename") & (F.col("c_type") == S.DIR)).isEmpty():
         above = hierarchy(inodes.select("bucket", "id", "parent", F.lit("").alias("name")), trail=True, scratch=scratch).select("bucket", F.col("id").alias("to_dir"), F.concat("above", F.array("id")).alias("t_above"))
         asked = asked.join(above, ["bucket", "to_dir"], "left")
     else:
@@ -155,7 +186,7 @@ def _apply_wave(ns: Namespace, wave: DataFrame, now: int, chunk_size: int, mode:
     )
     touched = sub(made, "dir_id", 0).unionByName(sub(cut, "dir_id", 0)).unionByName(sub(moved, "dir_id", 0)).unionByName(sub(moved, "to_dir", 0))
     change = links.withColumn("_m", F.lit(0)).unionByName(touched.withColumn("_m", F.lit(1))).groupBy("bucket", "id").agg(F.sum("_links").alias("_links"), F.max("_m").alias("_m"))
-    home = moved.select("bucket", F.col("c_id").alias("id"), F.col("to_dir").alias("_home"))
+    home = moved.groupBy("bucket", F.col("c_id").alias("id")).agg(F.max_by("to_dir", "seq").alias("_home"))  # of several names of a file the last renamed counts
     sets = ok.filter(F.col("op") == "setattr").select("bucket", "id", F.lit(True).alias("_set"), "new_mode", F.col("new_uid"), "new_gid", "new_atime_ns", "new_mtime_ns", "new_size")
     dead = lost.filter(is_dir).select("bucket", "id", F.lit(True).alias("_dead")).distinct()
     kept = inodes.select(*FIELDS).join(change, ["bucket", "id"], "left").join(home, ["bucket", "id"], "left").join(sets, ["bucket", "id"], "left").join(dead, ["bucket", "id"], "left")
@@ -174,7 +205,7 @@ def _apply_wave(ns: Namespace, wave: DataFrame, now: int, chunk_size: int, mode:
     refs, trims = ns.refs, ns.trims
     if refs is not None:
         refs, trims = _resize(refs, trims, ok, after_inodes, chunk_size, scratch)
-    return Namespace(after_inodes, after_names, next_ino, refs, trims), result
+    return Namespace(after_inodes, after_names, next_ino, refs, trims), result, rest
 
 
 def _resize(refs: DataFrame, trims: DataFrame, ok: DataFrame, inodes: DataFrame, chunk_size: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

@@ -460,6 +460,24 @@ def mut_06_remove(spark, d):
     return got.filter("seq = 4").select("bucket", "status").join(names, "bucket")
 
 
+def mut_01_everywhere(spark, d):
+    """Callers of every class ask for a directory of their own in every inode, be it a directory or not."""
+    inodes = _inodes(spark, d)
+    asks = inodes.select("bucket", "id", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(u).alias("u"), F.lit(g).alias("g"), F.array(*[F.lit(x) for x in gs]).alias("gs")) for k, (u, g, gs) in enumerate(CALLERS)])).alias("c"))
+    asked = _ask(asks, seq=F.col("id") * len(CALLERS) + F.col("c.k"), op=F.lit("mkdir"), dir_id=F.col("id"), name=F.concat(F.lit("~"), F.col("c.k").cast("string")), uid=F.col("c.u"), gid=F.col("c.g"), gids=F.col("c.gs"))
+    ns, got = U.apply_requests(_mutable(spark, d), asked, 1_750_000_000_000_000_000)
+    links = ns.inodes.select("bucket", F.col("id").alias("dir_id"), "nlink")
+    return asked.select("bucket", "seq", "dir_id").join(got, ["bucket", "seq"]).groupBy("bucket", "dir_id").agg(F.count(F.when(F.col("status") == S.OK, 1)).alias("n_made"), F.max("status").alias("worst")).join(links, ["bucket", "dir_id"])
+
+
+def mut_06_everything(spark, d):
+    """Every entry of every directory is removed at once."""
+    names = _dirents(spark, d).select("bucket", "dir_id", "name").distinct().filter("name IS NOT NULL")
+    asked = _ask(names, seq=F.xxhash64("dir_id", "name"), op=F.lit("remove"), dir_id=F.col("dir_id"), name=F.col("name"))
+    _, got = U.apply_requests(_mutable(spark, d), asked, 1_750_000_000_000_000_000)
+    return asked.select("bucket", "seq", "dir_id", "name").join(got.select("bucket", "seq", "status"), ["bucket", "seq"]).drop("seq")
+
+
 def mut_07_rename(spark, d):
     root = _dirents(spark, d).filter("dir_id = 1").groupBy("bucket").agg(F.min("name").alias("first"))
     asked = _ask(root, seq=F.lit(1), op=F.lit("rename"), dir_id=F.lit(1), name=F.col("first"), to_dir=F.lit(1), to_name=F.lit("~moved"))
@@ -467,6 +485,17 @@ def mut_07_rename(spark, d):
     return got.select("bucket", "status").join(ns.dirents.filter("name = '~moved'").select("bucket", "child_id"), "bucket", "left")
 
 
+def mut_07_everything(spark, d):
+    """Every file and link is moved to its bucket's root, under a name of its own."""
+    inodes, names = _inodes(spark, d), _dirents(spark, d)
+    files = inodes.filter("type <> 2").select("bucket", F.col("id").alias("child_id"))
+    asked = names.join(files, ["bucket", "child_id"], "left_semi").select("bucket", "dir_id", "name").distinct()
+    asked = _ask(asked, seq=F.xxhash64("dir_id", "name"), op=F.lit("rename"), dir_id=F.col("dir_id"), name=F.col("name"), to_dir=F.lit(1), to_name=F.concat(F.lit("~"), F.hex(F.xxhash64("dir_id", "name"))))
+    ns, got = U.apply_requests(_mutable(spark, d), asked, 1_750_000_000_000_000_000)
+    done = got.groupBy("bucket").agg(F.count(F.when(F.col("status") == S.OK, 1)).alias("n_done"), F.max("status").alias("worst"))
+    return done.join(ns.dirents.filter("dir_id = 1").groupBy("bucket").agg(F.count("*").alias("n_names")), "bucket", "left")
+
+
 def mut_09_setattr(spark, d):
     asked = _ask(_inodes(spark, d).select("bucket").distinct(), seq=F.lit(1), op=F.lit("setattr"), id=F.lit(1), uid=F.lit(501), gid=F.lit(20), new_mode=F.lit(0o600))
     ns, got = U.apply_requests(_mutable(spark, d), asked, 1_750_000_000_000_000_000)

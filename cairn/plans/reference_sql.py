@@ -174,4 +174,12 @@ SQL = {
     "str_03_budget": "WITH x AS (SELECT user_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events) SELECT user_id, seq, (i % 10 + 1) * 1024 AS used, i > 0 AND i % 10 = 0 AS drained FROM x",
     "prj_10_fsid": f"WITH x AS (SELECT DISTINCT bucket, hex(encode('s3://' || bucket)) AS h FROM roots) SELECT bucket, ({FNV})::DECIMAL(20, 0) AS fsid FROM x",
     "prj_11_verifiers": NS + f", x AS (SELECT bucket, dir_id, string_agg(hex(encode(name)) || '00', '' ORDER BY name) AS h FROM (SELECT DISTINCT bucket, dir_id, name FROM d) GROUP BY bucket, dir_id) SELECT bucket, dir_id, lpad(hex(({FNV})::UBIGINT), 16, '0') AS verifier FROM x",
+    "mut_01_everywhere": NS + """, c AS (SELECT bucket, id, nlink, type, CASE WHEN NOT dir THEN 20 WHEN pw AND px THEN 0 ELSE 13 END AS st FROM q3)
+        SELECT bucket, id AS dir_id, count(*) FILTER (st = 0) AS n_made, max(st) AS worst, any_value(coalesce(nlink, 0)) + count(*) FILTER (st = 0) AS nlink FROM c GROUP BY bucket, id""",
+    "mut_06_everything": NS + f"""SELECT d.bucket, d.dir_id, d.name, CASE WHEN {NAME.replace('name', 'd.name')} <> 0 THEN {NAME.replace('name', 'd.name')} WHEN x.id IS NULL THEN 70 WHEN x.type <> 2 THEN 20 WHEN y.id IS NULL THEN 2 WHEN y.type = 2 THEN 21 ELSE 0 END AS status
+        FROM d LEFT JOIN n x ON x.bucket = d.bucket AND x.id = d.dir_id LEFT JOIN n y ON y.bucket = d.bucket AND y.id = d.child_id WHERE d.name IS NOT NULL""",
+    "mut_07_everything": NS + """, a AS (SELECT DISTINCT d.bucket, d.dir_id, d.name FROM d JOIN n ON n.bucket = d.bucket AND n.id = d.child_id AND n.type <> 2),
+        s AS (SELECT a.*, CASE WHEN x.id IS NULL OR r.id IS NULL THEN 70 WHEN x.type <> 2 OR r.type <> 2 THEN 20 ELSE 0 END AS status FROM a LEFT JOIN n x ON x.bucket = a.bucket AND x.id = a.dir_id LEFT JOIN n r ON r.bucket = a.bucket AND r.id = 1),
+        g AS (SELECT bucket, count(*) FILTER (status = 0) AS n_done, max(status) AS worst, count(*) FILTER (status = 0 AND dir_id = 1) AS gone FROM s GROUP BY bucket),
+        h AS (SELECT bucket, count(*) AS c FROM d WHERE dir_id = 1 GROUP BY bucket) SELECT bucket, n_done, worst, nullif(coalesce(c, 0) - gone + n_done, 0) AS n_names FROM g LEFT JOIN h USING (bucket)""",
 }
