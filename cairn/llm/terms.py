@@ -27,15 +27,15 @@ def _names(longest: int) -> list[str]:
 def suffixes(occurrences: DataFrame, record: list[str], position: str, term: str, longest: int) -> DataFrame:
     """(_t1…, _rec, _pos): at every position the sequence of up to ``longest`` terms that starts there.
 
-    A null term or a position that is not there ends a sequence and starts none;
-    null positions have no neighbours. Where ``longest`` is above 1 a position has
+    A null term or a position that is not there ends a sequence and starts none.
+    Positions count from 0; null and lower ones have no neighbours. Where ``longest`` is above 1 a position has
     one term, the smallest of several. _rec is a 64-bit hash of the record.
     """
-    rows = occurrences.select(row_hash(*[F.col(c) for c in record]).alias("_rec"), F.coalesce(F.col(position).cast("bigint"), F.lit(_NOWHERE)).alias("_pos"), F.col(term).alias("_t1"))
+    rows = occurrences.select(row_hash(*[F.col(c) for c in record]).alias("_rec"), F.coalesce(F.when(F.lit(longest == 1), F.col(position)).when(F.col(position) >= 0, F.col(position)).cast("bigint"), F.lit(_NOWHERE)).alias("_pos"), F.col(term).alias("_t1"))
     if longest == 1:  # a position needs no other: rows repeated elsewhere meet at the stack
         return rows.filter("_t1 IS NOT NULL").select("_t1", "_rec", "_pos")
     cut = F.floor(F.col("_pos") / STRETCH).cast("bigint")
-    reach = F.col("_pos") - cut * STRETCH < longest - 1
+    reach = (cut > 0) & (F.col("_pos") - cut * STRETCH < longest - 1)
     rows = rows.select("*", F.explode(F.when(reach, F.array(F.struct(cut.alias("cut"), F.lit(True).alias("own")), F.struct((cut - 1).alias("cut"), F.lit(False).alias("own")))).otherwise(
         F.array(F.struct(cut.alias("cut"), F.lit(True).alias("own"))))).alias("_c")).select("_rec", "_pos", "_t1", "_c.*")
     one = rows.repartition("_rec", "cut").groupBy("_rec", "cut", "_pos").agg(F.min("_t1").alias("_t1"), F.max("own").alias("own"))
