@@ -144,12 +144,13 @@ def _apply_wave(ns: Namespace, wave: DataFrame, now: int, chunk_size: int, mode:
         .join(_as(inodes, "o", "id"), ["bucket", "id"], "left")
         .join(sizes.select("bucket", F.col("_i").alias("c_id"), F.col("_n").alias("c_n")), ["bucket", "c_id"], "left").join(sizes.select("bucket", F.col("_i").alias("v_id"), F.col("_n").alias("v_n")), ["bucket", "v_id"], "left")
     )
-    rest = None
+    rest, moves_dirs = None, False
     if not wave.filter("op = 'rename'").isEmpty():
         asked, later = _in_one_pass(scratch.write(asked))
         later = scratch.write(later)
         rest = None if later.isEmpty() else wave.join(later, ["bucket", "seq"], "left_semi")
-    if not asked.filter((F.col("op") == "rename") & (F.col("c_type") == S.DIR)).isEmpty():
+        moves_dirs = not asked.filter((F.col("op") == "rename") & (F.col("c_type") == S.DIR)).isEmpty()
+    if moves_dirs:
         above = hierarchy(inodes.select("bucket", "id", "parent", F.lit("").alias("name")), trail=True, scratch=scratch).select("bucket", F.col("id").alias("to_dir"), F.concat("above", F.array("id")).alias("t_above"))
         asked = asked.join(above, ["bucket", "to_dir"], "left")
     else:
