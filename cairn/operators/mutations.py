@@ -56,9 +56,9 @@ def waves(requests: DataFrame, next_ino: DataFrame) -> DataFrame:
     """
     made = F.col("op").isin("create", "mkdir", "symlink")
     newest = F.greatest(*[F.coalesce(c, F.lit(0)) for c in ("dir_id", "to_dir", "id")])
+    entry = F.when(F.col("op") == "setattr", F.xxhash64("id")).otherwise(F.xxhash64("dir_id", "name"))
     marks = requests.join(next_ino, "bucket", "left").select(
-        "bucket", "seq", F.when(F.col("op") == "setattr", F.xxhash64("id")).otherwise(F.xxhash64("dir_id", "name")).alias("entry"),
-        F.when(F.col("op") == "rename", F.xxhash64("to_dir", "to_name")).otherwise(F.xxhash64("dir_id", "name")).alias("other"), F.when(F.col("op").isin("setattr", "rename"), F.col("op")).otherwise("names").alias("kind"), F.col("op").isin(*BARRIERS).alias("alone"), made.alias("makes"), F.coalesce(newest >= F.col("next_ino"), F.lit(False)).alias("waits"))
+        "bucket", "seq", entry.alias("entry"), F.when(F.col("op") == "rename", F.xxhash64("to_dir", "to_name")).otherwise(entry).alias("other"), F.when(F.col("op").isin("setattr", "rename"), F.col("op")).otherwise("names").alias("kind"), F.col("op").isin(*BARRIERS).alias("alone"), made.alias("makes"), F.coalesce(newest >= F.col("next_ino"), F.lit(False)).alias("waits"))
 
     def run(batches):
         at, wave, entries, makes, closed, kind = None, 0, set(), False, True, None
@@ -74,7 +74,8 @@ def waves(requests: DataFrame, next_ino: DataFrame) -> DataFrame:
                 out.append(wave)
             yield pdf[["bucket", "seq"]].assign(wave=out)
 
-    numbered = marks.repartition("bucket").sortWithinPartitions("bucket", "seq").mapInPandas(run, "bucket string, seq bigint, wave bigint")
+    # by a hash: above a join by bucket Spark leaves out a repartition by bucket, and adaptive execution may then read that join's rows mapper by mapper
+    numbered = marks.repartition(F.xxhash64("bucket")).sortWithinPartitions("bucket", "seq").mapInPandas(run, "bucket string, seq bigint, wave bigint")
     return requests.join(numbered, ["bucket", "seq"])
 
 

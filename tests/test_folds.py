@@ -127,6 +127,32 @@ def test_a_size_in_setattr_resizes_the_file(rows):
     assert after.inodes.filter("id = 4").count() == 0
 
 
+def test_settings_of_different_inodes_go_in_one_wave(rows):
+    ask = lambda bucket, seq, op, **v: tuple({"bucket": bucket, "seq": seq, "op": op, "uid": 5, "gid": 5, "gids": []}.get(c, v.get(c)) for c in (x.split(" ")[0] for x in U.REQUESTS.split(", ")))
+    halves = [ask("b", 100 * k + i, "setattr", id=i, new_size=i) for k in range(2) for i in range(20)]
+    others = [ask("b", 200, "create", dir_id=1, name="new"), ask("b", 201, "setattr", id=3, new_size=1), ask("b", 202, "setattr", id=4, new_mode=0), ask("b", 203, "setattr", id=3, new_mode=0)]
+    asked = rows(U.REQUESTS, *halves, *others, *[ask("c", i, "setattr", id=i, new_mode=0) for i in range(9)])
+    got = as_set(U.waves(asked, rows("bucket string, next_ino bigint", ("b", 20), ("c", 9))).select("bucket", "seq", "wave"))
+    assert got == {("b", 100 * k + i, k + 1) for k in range(2) for i in range(20)} | {("b", 200, 3), ("b", 201, 4), ("b", 202, 4), ("b", 203, 5)} | {("c", i, 1) for i in range(9)}
+
+
+@pytest.mark.parametrize("adaptive", ["-1", "10m"])
+def test_a_bucket_is_numbered_by_one_task(spark, adaptive):
+    given = {"bucket": F.concat(F.lit("b"), F.col("id") % 50), "seq": F.floor(F.col("id") / 50), "op": F.lit("setattr"), "id": F.floor(F.col("id") / 50) % 20}
+    asked = spark.range(0, 2000, 1, 8).select(*[given.get(c, F.lit(None)).cast(k).alias(c) for c, k in (x.split(" ", 1) for x in U.REQUESTS.split(", "))])
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": adaptive}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = U.waves(asked, asked.groupBy("bucket").agg((F.max("id") + 1).alias("next_ino")))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_COL" in plan[plan.index("MapInPandas"):]
+        assert {(r.wave, r.half): r["count"] for r in got.groupBy("wave", F.floor(F.col("seq") / 20).alias("half")).count().collect()} == {(1, 0): 1000, (2, 1): 1000}
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+
+
 def test_verdicts_from_finish(rows):
     log = [(1, "a", 0, 1, "begin"), (1, "a", 5, 2, "begin"), (1, "a", 9, 1, "finish"), (1, "a", 100, 3, "begin"), (1, "a", 128, 4, "begin"), (1, "a", 129, 5, "begin"), (1, "a", 130, 6, "begin"), (2, "a", 1, 7, "begin")]
     df = rows("conn bigint, k string, t bigint, seq bigint, event string", *log).select("conn", "k", "seq", "event", F.timestamp_seconds("t").alias("ts"))
